@@ -140,7 +140,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
         for b in batches:
             yield pd.Series([np.array(encode_text(t, folder, name) if t else [], dtype=np.int32) for t in b], dtype=object)
 
-    short = rows.where(size <= long).select(key, short_ids("_t").alias("ids"))
+    short = rows.where(size <= long).select(key, short_ids.asNondeterministic()("_t").alias("ids"))  # nondeterministic: a filter on ids must not run it twice
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

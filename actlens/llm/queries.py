@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from actlens.common import read
-from actlens.llm import encode, mixing, overlap, percentiles, term_counts, top_n
+from actlens.llm import encode, language, mixing, overlap, percentiles, term_counts, top_n
 
 
 def _activation_percentiles(s, d):
@@ -18,6 +18,11 @@ def _daily_percentiles(s, d):
     return percentiles.percentiles(percentiles.combine(daily, ["feature"]), ["feature"])
 
 
+def _languages(s, d):
+    docs = read(s, d, "documents")
+    return language.identify(docs, language.train(docs)).select("doc_id", "language", F.round("confidence", 3).alias("confidence"), F.size("segments").alias("n_segments"))
+
+
 def queries() -> dict:
     return {
         "p2_found": lambda s, d: overlap.pairs(read(s, d, "dataset")),
@@ -30,6 +35,8 @@ def queries() -> dict:
         "p6_molptr": lambda s, d: percentiles.percentiles(percentiles.summary(read(s, d, "samples"), ["chunk"], "molptr"), ["chunk"]),
         "p7_ids": lambda s, d: encode.encode_corpus(read(s, d, "documents")),
         "p8_mix": lambda s, d: mixing.mix(read(s, d, "documents"), read(s, d, "mix_targets"))[0],
+        "p9_found": lambda s, d: language.found(read(s, d, "documents")),
+        "p9_languages": _languages,
         "p8_report": lambda s, d: mixing.report(read(s, d, "documents"), read(s, d, "mix_targets")),
     }
 
