@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, once per Spark application."""
+    sc = spark.sparkContext
+    if getattr(ship, "to", None) == sc.applicationId:
+        return
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="actlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/{root.name}.zip")
+    ship.to = sc.applicationId
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors, keeps column pruning."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
