@@ -53,7 +53,7 @@ def confusion(acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds
     """
     k = range(len(thresholds))
     if fpc is not None:
-        labels = labels.join(F.broadcast(fpc.select("concept_idx").distinct()), "concept_idx", "left_semi")
+        labels = labels.join(fpc.select("concept_idx").distinct(), "concept_idx", "left_semi")
     spots = labels.select("sample_idx", "concept_idx", "token_idx").distinct()
     sizes = samples.select("sample_idx", F.col("n_tokens").cast("long").alias("n"))
     present = spots.groupBy("sample_idx", "concept_idx").agg(F.count("*").alias("np"))
@@ -65,10 +65,10 @@ def confusion(acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds
         n = universe.join(sizes, "sample_idx").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         pp = fires.join(universe, "sample_idx", "left_semi").groupBy("feature").agg(*_sum("_", len(thresholds), "pp"))
         np_ = present.join(sizes.select("sample_idx"), "sample_idx").groupBy("concept_idx").agg(F.sum("np").alias("np"))
-        base = fpc.select("concept_idx", "feature").distinct().join(F.broadcast(np_), "concept_idx", "left").join(pp, "feature", "left").crossJoin(F.broadcast(n))  # n is one row
+        base = fpc.select("concept_idx", "feature").distinct().join(np_, "concept_idx", "left").join(pp, "feature", "left").crossJoin(F.broadcast(n))  # n is one row
     on = acts.join(spots, ["sample_idx", "token_idx"]).join(sizes.select("sample_idx"), "sample_idx", "left_semi")
     if fpc is not None:
-        on = on.join(F.broadcast(fpc.select("concept_idx", "feature").distinct()), ["concept_idx", "feature"], "left_semi")
+        on = on.join(fpc.select("concept_idx", "feature").distinct(), ["concept_idx", "feature"], "left_semi")
     out = base.join(on.groupBy("concept_idx", "feature").agg(*(c.alias(f"tp{i}") for i, c in enumerate(_over(thresholds)))), ["concept_idx", "feature"], "left")
     tp, pp, np_ = (lambda i: _zero(f"tp{i}")), (lambda i: _zero(f"pp{i}")), _zero("np")
     cells = lambda i: [("tp", tp(i)), ("fn", np_ - tp(i)), ("fp", pp(i) - tp(i)), ("tn", F.col("n") - np_ - pp(i) + tp(i))]
@@ -82,7 +82,7 @@ def confusion(acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds
         .groupBy("concept_idx", "feature").agg(*(F.sum((F.col(f"_{i}") == F.col("width")).cast("long")).alias(f"sub{i}") for i in k))
     )
     total = width.groupBy("concept_idx").agg(F.count("*").alias("n_sub"))
-    out = out.join(whole, ["concept_idx", "feature"], "left").join(F.broadcast(total), "concept_idx", "left")
+    out = out.join(whole, ["concept_idx", "feature"], "left").join(total, "concept_idx", "left")
     return _rows(out, thresholds, lambda i: [*cells(i), ("tp_sub", _zero(f"sub{i}")), ("n_sub", _zero("n_sub"))])
 
 
@@ -133,7 +133,7 @@ def concept_smd(acts: DataFrame, samples: DataFrame, labels: DataFrame, pooled:
     else:
         pos = acts.join(spots, ["sample_idx", "token_idx"]).groupBy("concept_idx", "feature").agg(F.sum(v).alias("px"), F.sum(v * v).alias("pxx"), F.sum(v).alias("ox"), F.sum(v * v).alias("oxx"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    both = tot.join(pos, ["concept_idx", "feature"], "left").join(F.broadcast(n_pos.join(n_neg, "concept_idx")), "concept_idx")
+    both = tot.join(pos, ["concept_idx", "feature"], "left").join(n_pos.join(n_neg, "concept_idx"), "concept_idx")
     smd = _smd((z("px"), z("pxx")), (F.col("x") - z("ox"), F.col("xx") - z("oxx")), F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), eps)
     return both.select("concept_idx", "feature", smd.alias("smd"))
 
@@ -170,7 +170,7 @@ def representation_smd(acts: DataFrame, variants: DataFrame, references: DataFra
 
 def names(df: DataFrame, concepts: DataFrame, column: str = "conceptIdx", strict: bool = True) -> DataFrame:
     """Adds concept and description; an unknown index is an error, or with strict=False leaves nulls."""
-    dim = F.broadcast(concepts.select(F.col("concept_idx").alias(column), "concept", "description"))
+    dim = concepts.select(F.col("concept_idx").alias(column), "concept", "description")
     out = df.join(dim, column, "left")
     if strict:
         out = out.withColumn("concept", F.when(F.col("concept").isNull(), F.raise_error(F.concat(F.lit("no concept of index "), F.col(column).cast("string")))).otherwise(F.col("concept")))

@@ -61,7 +61,7 @@ def token_preference(acts: DataFrame, tokens: DataFrame) -> DataFrame:
 def token_preference_inverse(acts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(feature, token, n): tokens on which the latent does not fire, as all occurrences less those where it does; zeros are never expanded. Tokens with none are left out."""
     active = token_counts(acts, tokens)
-    dims = active.select("feature").distinct().crossJoin(F.broadcast(global_counts(tokens)))  # latents times vocabulary, both dimensions
+    dims = active.select("feature").distinct().crossJoin(global_counts(tokens))  # latents times vocabulary, both dimensions
     return dims.join(active, ["feature", "token"], "left").select("feature", "token", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
 
 
