@@ -63,9 +63,21 @@ def settle(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors, keeps column pruning."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_settled: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that settle wrote in this process; call it once the results that read them are written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _settled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit; else df as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -112,7 +112,7 @@ def predict(rows: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
 def classification_metrics(scored: DataFrame) -> DataFrame:
     """(task, n, accuracy, mcc, roc_auc) of scores above 0 against labels 0 and 1; the area by mean ranks, null with one class only."""
     p, y = (F.col("score") > 0).cast("double"), F.col("y")
-    ranked = scored.withColumn("_r", _mean_rank("task", "score"))
+    ranked = mean_ranks(scored, "task", "score", "_r")
     tp, pp, pos, n = F.sum(p * y), F.sum(p), F.sum(y), F.count("*").cast("double")
     mcc = F.coalesce(F.try_divide(n * tp - pp * pos, F.sqrt(pp * (n - pp) * pos * (n - pos))), F.lit(0.0))
     auc = F.try_divide(F.sum(F.col("_r") * y) - pos * (pos + 1) / 2, pos * (n - pos))
@@ -121,15 +121,21 @@ def classification_metrics(scored: DataFrame) -> DataFrame:
 
 def regression_metrics(scored: DataFrame) -> DataFrame:
     """(task, n, rmse, spearman)."""
-    ranked = scored.withColumn("_a", _mean_rank("task", "score")).withColumn("_b", _mean_rank("task", "y"))
+    ranked = mean_ranks(mean_ranks(scored, "task", "score", "_a"), "task", "y", "_r")
     e = F.col("score") - F.col("y")
-    return ranked.groupBy("task").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("_a", "_b").alias("spearman"))
-
-
-def _mean_rank(group: str, value: str):
-    """Mean rank of ties: counts of distinct values first would shrink hot groups; here one window by value and one by group."""
-    ties = F.count("*").over(Window.partitionBy(group, value))
-    return F.rank().over(Window.partitionBy(group).orderBy(value)) + (ties - 1) / 2.0
+    return ranked.groupBy("task").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("_a", "_r").alias("spearman"))
+
+
+def mean_ranks(df: DataFrame, group: str, value: str, to: str, buckets: int = 64) -> DataFrame:
+    """Adds the mean rank of ties within the group. Values are counted first; approximate quantiles, which merge, cut a group into buckets, so that running counts stay inside one bucket and no task gets a whole group."""
+    counts = df.groupBy(group, value).agg(F.count("*").alias("_c"))
+    bounds = counts.groupBy(group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_b"))
+    placed = counts.join(bounds, group).withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+    upto = Window.partitionBy(group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    offset = placed.groupBy(group, "_k").agg(F.sum("_c").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(upto), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(group, "_k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("_o") + F.sum("_c").over(inside) - (F.col("_c") - 1) / 2.0
+    return df.join(placed.join(offset, [group, "_k"]).select(group, value, rank.alias(to)), [group, value])
 
 
 def replicate_scores(lists: DataFrame, keys: list[str], rep: str, values: str) -> DataFrame:

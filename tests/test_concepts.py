@@ -139,3 +139,13 @@ def test_profiles(spark, world):
                 p = 1 - 6 * ((np.arange(1, len(v) + 1) - rank) ** 2).sum() / (len(v) * (len(v) ** 2 - 1))
                 zs.append(np.arctanh(np.clip(p, -0.99999, 0.99999)))
         assert (f in rho) == bool(zs) and (not zs or rho[f] == pytest.approx(np.tanh(np.mean(zs))))
+
+
+def test_empty_tables(spark, world):
+    _, _, acts, samples, lab = world
+    none = acts.limit(0)
+    feats = spark.range(2).selectExpr("cast(id as int) as feature")
+    tokens = spark.createDataFrame([], "sample_idx long, token_idx int, token string")
+    assert [r.n for r in L.density(none, samples, feats).collect()] == [None, None]
+    for df in (L.token_preference(none, tokens), L.token_preference_inverse(none, tokens), L.preference_summary(none, tokens), L.positional(none, samples), L.histogram(none, tokens, 1.0, 3), C.concept_smd(none, samples, lab), C.confusion(none, samples, lab, THR)):
+        assert df.count() == 0

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from actlens.common import settle
+from actlens.common import clear, settle, shared_dir
 from actlens.operators import probe as P
 from actlens.operators import sae
 from actlens.sources import files
@@ -67,6 +69,18 @@ def test_probes(spark):
     assert abs(parts["train"] - 1600) < 80 and abs(parts["valid"] - 200) < 60
 
 
+def test_mean_ranks(spark):
+    r = np.random.default_rng(3)
+    v = np.round(np.exp(r.normal(0, 4, 2000)), 1)
+    g = r.choice(["hot", "hot", "cold"], 2000)
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)] + [("one", 1.0)], "task string, v double")
+    got = P.mean_ranks(df, "task", "v", "rank").collect()
+    assert len(got) == 2001
+    for k in ("hot", "cold"):
+        own = np.sort(v[g == k])
+        assert all(x["rank"] == (np.searchsorted(own, x.v) + 1 + np.searchsorted(own, x.v, "right")) / 2 for x in got if x.task == k)
+
+
 def test_replicates(spark):
     df = spark.createDataFrame([("k", 1, [1.0, 2.0, 6.0]), ("k", 2, [0.0, 4.0, 5.0]), ("k", 3, [2.0, 2.0, 2.0])], "k string, rep int, v array<double>")
     z = lambda v: (np.array(v) - np.mean(v)) / np.std(v, ddof=1)
@@ -88,7 +102,12 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, files.token_counts_json(spark, f"{tmp_path}/c.json").collect())) == [("C", 3), ("N", 1)]
     with pytest.raises(ValueError, match="no such columns"):
         files.rename(df, {"nope": "x"})
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("settled-*"))
     assert settle(df).count() == 2
+    own = set(folder.glob("settled-*")) - before
+    clear(spark)
+    assert own and not any(p.exists() for p in own)
 
 
 def test_stream(spark, tmp_path):
