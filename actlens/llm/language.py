@@ -5,9 +5,9 @@ labels every position of every text. Positions pool to lines, lines to segments
 (lines that open or close a block tell where switches are likely), and segments to document probabilities.
 
 Training runs in tasks, not on the driver: WORKERS shards of the sample each train for a round, and their weights are
-averaged. First the network learns from short windows, each position labelled with
-its document's own label, which is wrong for some documents and for embedded blocks; then it labels the sample, documents
-that contradict their label are left out, positions take the label of their segment, and the network learns on.
+averaged. First the network learns from short windows of what lies outside marked blocks, each position labelled with
+its document's own label, which is wrong for some documents; then it labels the sample, documents that contradict their
+label are left out, and the network learns on.
 
 Windows cover whole texts, overlap by CONTEXT bytes on both sides, and hold bytes of one text only; only line sums are
 kept, so a text of any length needs little memory.
@@ -34,22 +34,25 @@ from actlens.llm import gru
 # The twelve languages of TESTDATA.md.
 LANGUAGES = ["python", "javascript", "java", "c", "go", "rust", "sql", "shell", "html", "css", "markdown", "text"]
 
+#: Prose inside another language belongs to it.
+PROSE = LANGUAGES.index("text")
+
 #: Labelled documents per language in the sample, and bytes taken of each; both bound what training sees.
 SAMPLE, SAMPLE_BYTES = 500, 8_192
 #: Size of the network; shards, rounds of both phases, steps a round, windows a step, bytes a window, rates at the start.
-HIDDEN, WORKERS, ROUNDS, STEPS, BATCH, WINDOW, RATE, SEED = 32, 6, (5, 4), 100, 32, 128, (0.01, 0.005), 7
+HIDDEN, WORKERS, ROUNDS, STEPS, BATCH, WINDOW, RATE, SEED = 32, 6, (6, 5), 110, 40, 128, (0.01, 0.005), 7
 #: Bytes of a window that count, and bytes of context on either side; windows run together.
-CORE, CONTEXT, TOGETHER = 256, 64, 768
+CORE, CONTEXT, TOGETHER = 512, 48, 512
 #: A line's weight is that of at most so many bytes; floor of a position's log probability.
-LINE, FLOOR = 12.0, -6.0
-#: Log odds of a switch of language at the edge of a marked block, elsewhere, and where it is unlikely; weight of a marking or comment line's own bytes.
-NEAR, SWITCH, NEVER, MARKED = 5.0, 48.0, 96.0, 0.4
+LINE, FLOOR = 12.0, -5.0
+#: Log odds that a marked block must have for another language than that around it; those of a switch elsewhere, and where it is unlikely; weight of a marking or comment line's own bytes.
+BLOCK, SWITCH, NEVER, MARKED = 8.0, 80.0, 10_000.0, 0.4
 
-# Lines that open a block in another language (fences, tags, here documents, raw and long strings); comment lines.
+# Lines that open a block in another language (fences, tags, here documents, raw strings); comment lines; lines that go on.
 _COMMENT = re.compile(rb"\s*(?://|#(?!include|define|if|endif|!)|--|/\*|\*|<!--)")
 _GOES_ON = re.compile(rb"[ \t]+\S|[})\]]")
 _OPENS = re.compile(
-    rb"""^(?P<fence>```|~~~)[A-Za-z+]|<(?P<tag>script|style)\b[^>]*>$|<<[-~]?\s*['"]?(?P<word>[A-Za-z_]+)['"]?\s*$|r(?P<hashes>#+)"$|(?P<quote>\"\"\"|\'\'\'|`)$""", re.I
+    rb"""^(?P<fence>```|~~~)|<(?P<tag>script|style)\b[^>]*>$|<<[-~]?\s*['"]?(?P<word>[A-Za-z_]+)['"]?\s*$|r(?P<hashes>#+)"$""", re.I
 )
 
 _WHITE = np.zeros(gru.PAD + 1, bool)
@@ -62,79 +65,107 @@ def line_scores(p: dict, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarra
     lines = [t.count(b"\n") + 1 for t in texts]
     line_at = np.r_[0, np.cumsum(lines)]
     sums, n = np.zeros((line_at[-1], len(LANGUAGES)), np.float64), np.zeros(line_at[-1], np.int64)
-    jobs = [(i, a) for i, size in enumerate(lengths) for a in range(0, size, CORE)]
-    arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    # line feeds before each window of a text
+    before = [np.r_[0, np.cumsum([t.count(b"\n", a, a + CORE) for a in range(0, len(t), CORE)])] for t in texts]
+    # windows of like length run together, so that short ones don't wait for long ones
+    jobs = sorted(((min(CORE, size - a), i, a) for i, size in enumerate(lengths) for a in range(0, size, CORE)), reverse=True)
+    data = [np.frombuffer(t, np.uint8) for t in texts]
     for k in range(0, len(jobs), TOGETHER):
         part = jobs[k : k + TOGETHER]
-        x = np.full((CORE + 2 * CONTEXT, len(part)), gru.PAD, np.int16)
-        line = np.full((CORE, len(part)), -1, np.int64)
-        here = {i for i, _ in part}
-        arrays = {i: v for i, v in arrays.items() if i in here}
-        for j, (i, a) in enumerate(part):
-            if i not in arrays:
-                data = np.frombuffer(texts[i], np.uint8)
-                feeds = data == 10
-                arrays[i] = data, np.cumsum(feeds) - feeds + line_at[i]
-            data, own = arrays[i]
-            lo, hi = max(0, a - CONTEXT), min(len(data), a + CORE + CONTEXT)
-            x[lo - a + CONTEXT : hi - a + CONTEXT, j] = data[lo:hi]
-            line[: len(own[a : a + CORE]), j] = own[a : a + CORE]
-        y = np.maximum(gru.log_probs(p, x)[CONTEXT : CONTEXT + CORE], FLOOR)
+        long = part[0][0]
+        x = np.full((long + 2 * CONTEXT, len(part)), gru.PAD, np.int16)
+        line = np.full((long, len(part)), -1, np.int64)
+        for j, (size, i, a) in enumerate(part):
+            lo, hi = max(0, a - CONTEXT), min(lengths[i], a + size + CONTEXT)
+            x[lo - a + CONTEXT : hi - a + CONTEXT, j] = data[i][lo:hi]
+            feeds = data[i][a : a + size] == 10
+            line[:size, j] = line_at[i] + before[i][a // CORE] + np.cumsum(feeds) - feeds
+        y = np.maximum(gru.log_probs(p, x)[CONTEXT : CONTEXT + long], FLOOR)
         at = line.T.reshape(-1)
-        good = (at >= 0) & ~_WHITE[x[CONTEXT : CONTEXT + CORE].T.reshape(-1)]
+        good = (at >= 0) & ~_WHITE[x[CONTEXT : CONTEXT + long].T.reshape(-1)]
         at, y = at[good], y.transpose(1, 0, 2).reshape(-1, y.shape[-1])[good]
         if len(at):
-            first = np.flatnonzero(np.r_[True, np.diff(at) > 0])
-            sums[at[first]] += np.add.reduceat(y, first, axis=0)
-            n[at[first]] += np.diff(np.r_[first, len(at)])
+            first = np.flatnonzero(np.r_[True, np.diff(at) != 0])
+            np.add.at(sums, at[first], np.add.reduceat(y, first, axis=0))
+            np.add.at(n, at[first], np.diff(np.r_[first, len(at)]))
     return [(sums[a:b], n[a:b]) for a, b in zip(line_at, line_at[1:])]
 
 
 def marks(lines: list[bytes]) -> np.ndarray:
     """1 for a line that opens a block, 3 for the lines in it, 2 for the one that closes it; of the others, 4 for comments, 5 for lines that go on with something (indented, or a closing bracket), 0 for the rest."""
     out = np.array([4 if _COMMENT.match(x) else 5 if _GOES_ON.match(x) else 0 for x in lines], np.int8)
-    waiting, opened = None, 0
-    for i, line in enumerate(lines):
-        line = line.strip()
-        if waiting is None:
-            if m := _OPENS.search(line):
-                kind, opened = m.lastgroup, i
-                own = m.group(kind)
-                waiting = b"</" + own.lower() if kind == "tag" else b'"' + own if kind == "hashes" else own
-        elif line == waiting or kind != "word" and line.lower().startswith(waiting):
-            out[opened + 1 : i] = 3
-            out[opened], out[i], waiting = 1, 2, None
+    lines = [x.strip() for x in lines]
+    hopeless: set[tuple] = set()  # what is never closed again
+    i = 0
+    while i < len(lines):
+        opened, i = i, i + 1
+        way = _opening(lines[opened])
+        if way is None or way in hopeless:
+            continue
+        closed = next((j for j in range(i, len(lines)) if _closes(lines[j], *way)), None)
+        if closed is None:
+            hopeless.add(way)
+            continue
+        out[opened + 1 : closed] = 3
+        out[opened], out[closed], i = 1, 2, closed + 1
     return out
 
 
+def _opening(line: bytes) -> tuple[str, bytes] | None:
+    for quote in (b'"""', b"'''", b"`"):
+        if line.count(quote) % 2 and not line.startswith(b"```"):
+            return "quote", quote
+    m = _OPENS.search(line)
+    return m and (m.lastgroup, m.group(m.lastgroup).lower() if m.lastgroup == "tag" else m.group(m.lastgroup))
+
+
+def _closes(line: bytes, way: str, mark: bytes) -> bool:
+    if way == "quote":
+        return line.count(mark) % 2 == 1
+    if way == "tag":
+        return b"</" + mark in line.lower()
+    if way == "hashes":
+        return b'"' + mark in line
+    return line == mark if way == "word" else line.startswith(mark)
+
+
+def _path(score: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The best language of each line, where a switch costs much, and most behind a comment, which goes with the code after it, next to marks, and before a line that goes on with something."""
+    best = score.argmax(1)
+    if (best == best[0]).all():
+        return best
+    here, after = kind[:-1], kind[1:]
+    cost = np.where((here == 4) | (here == 1) | (here == 2) | (after == 1) | (after == 2) | (after == 5), NEVER, SWITCH)
+    v, own = score[0].copy(), np.arange(len(LANGUAGES))
+    back = np.empty(score.shape, np.int8)
+    for t in range(1, len(score)):
+        top = v.argmax()
+        stay = v >= v[top] - cost[t - 1]
+        back[t] = np.where(stay, own, top)
+        v = np.where(stay, v, v[top] - cost[t - 1]) + score[t]
+    path = np.empty(len(score), np.int64)
+    path[-1] = v.argmax()
+    for t in range(len(score) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
 def segments(sums: np.ndarray, n: np.ndarray, mark: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(first line, last line, language, confidence) of each segment, lines from 1: the best sequence of languages, where a switch costs little behind an opening and before a closing line, much elsewhere, and most inside a block, on the wrong side of its marks, behind a comment (it goes with the code after it) and before a line that goes on with something. Blank lines take no part."""
+    """(first line, last line, language, confidence) of each segment, lines from 1. The lines outside marked blocks form the best sequence of languages; a marked block is of the one language that suits it best, if by more than BLOCK, else of that around it. Blank lines take no part."""
     at = np.flatnonzero(n)
     if not len(at):
         return []
     kind = mark[at]
     weight = np.minimum(n[at], LINE) * np.where(np.isin(kind, (0, 3, 5)), 1.0, MARKED)
     score = sums[at] / n[at, None] * weight[:, None]
-    best = score.argmax(1)
-    if (best == best[0]).all():
-        path = best
-    else:
-        here, after = kind[:-1], kind[1:]
-        edge, wrong = (here == 1) | (after == 2), (here == 3) | (here == 4) | (here == 2) | (after == 1) | (after == 5)
-        cost = np.where(edge, NEAR, np.where(wrong, NEVER, SWITCH))
-        v = score[0].copy()
-        back = np.empty((len(at), len(LANGUAGES)), np.int8)
-        own = np.arange(len(LANGUAGES))
-        for t in range(1, len(at)):
-            top = v.argmax()
-            other = v[top] - cost[t - 1]
-            stay = v >= other
-            back[t] = np.where(stay, own, top)
-            v = np.where(stay, v, other) + score[t]
-        path = np.empty(len(at), np.int64)
-        path[-1] = v.argmax()
-        for t in range(len(at) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
+    inside = kind == 3
+    path = np.empty(len(at), np.int64)
+    path[~inside] = _path(score[~inside], kind[~inside])
+    for a in np.flatnonzero(inside & ~np.r_[False, inside[:-1]]):
+        z = a + int(np.argmin(np.r_[inside[a:], False]))
+        total, around = score[a:z].sum(0), path[a - 1]
+        lang = total.argmax()
+        path[a:z] = lang if lang != PROSE and total[lang] > total[around] + BLOCK else around
     cut = np.r_[0, np.flatnonzero(np.diff(path)) + 1, len(path)]
     out = []
     for a, b in zip(cut, cut[1:]):
@@ -144,9 +175,27 @@ def segments(sums: np.ndarray, n: np.ndarray, mark: np.ndarray) -> list[tuple[in
     return out
 
 
+def pieces(text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, bytes]]]:
+    """The lines' marks, and (line numbers from 0, text) of what lies outside marked blocks, then of each block: the network reads each alone, so that neither colours the other."""
+    lines = text.split(b"\n")
+    mark = marks(lines)
+    inside = mark == 3
+    group = np.where(inside, np.cumsum(inside & ~np.r_[False, inside[:-1]]), 0)
+    at = [np.flatnonzero(group == k) for k in range(group.max() + 1)]
+    return mark, [(x, b"\n".join([lines[i] for i in x])) for x in at]
+
+
 def label_lines(p: dict, texts: list[bytes]) -> list[tuple[list[tuple[int, int, int, float]], np.ndarray]]:
     """(segments, bytes per line) of each text."""
-    return [(segments(sums, n, marks(t.split(b"\n"))), n) for t, (sums, n) in zip(texts, line_scores(p, texts))]
+    cut = [pieces(t) for t in texts]
+    scored = iter(line_scores(p, [t for _, own in cut for _, t in own]))
+    out = []
+    for mark, own in cut:
+        sums, n = np.zeros((len(mark), len(LANGUAGES))), np.zeros(len(mark), np.int64)
+        for at, _ in own:
+            sums[at], n[at] = next(scored) if len(at) else (next(scored)[0][:0], 0)
+        out.append((segments(sums, n, mark), n))
+    return out
 
 
 def main_language(segs: list, n: np.ndarray) -> tuple[int, float]:
@@ -161,28 +210,25 @@ def main_language(segs: list, n: np.ndarray) -> tuple[int, float]:
     return lang, size[lang][1] / size[lang][0]
 
 
-def _learn(state: dict, texts: list[np.ndarray], labels: list[np.ndarray], steps: int, rates: tuple[float, float], seed: int) -> dict:
-    """Adam on windows drawn evenly over the languages, around the start of a line in that language."""
+def _learn(state: dict, texts: list[np.ndarray], labels: list[int], steps: int, rates: tuple[float, float], seed: int) -> dict:
+    """Adam on windows drawn evenly over the languages, around the start of a line; every position has its text's label."""
     r = np.random.default_rng(seed)
     starts: list[list[tuple[int, int]]] = [[] for _ in LANGUAGES]
     for i, (t, y) in enumerate(zip(texts, labels)):
-        for a in np.r_[0, np.flatnonzero(t == 10) + 1]:
-            if a < len(t):
-                starts[y[a]].append((i, int(a)))
+        starts[y] += [(i, int(a)) for a in np.r_[0, np.flatnonzero(t == 10) + 1] if a < len(t)]
     have = [s for s in starts if s]
-    edges = [(i, int(a)) for i, y in enumerate(labels) for a in np.flatnonzero(np.diff(y.astype(np.int16))) + 1]
     p, adam = state["p"], gru.Adam(state["p"])
     adam.m, adam.v, adam.t = state["m"], state["v"], state["t"]
     for step in range(steps if have else 0):
         x = np.full((WINDOW, BATCH), gru.PAD, np.int64)
         y = np.zeros((WINDOW, BATCH), np.int64)
         for j in range(BATCH):
-            s = edges if edges and r.random() < 0.25 else have[r.integers(len(have))]
+            s = have[r.integers(len(have))]
             i, a = s[r.integers(len(s))]
             a = 0 if r.random() < 0.15 else a  # a text's start counts more often than one line of many
             a -= int(r.integers(0, WINDOW // 2))  # what comes before, or nothing at a text's start
             own = slice(max(0, a), min(len(texts[i]), a + WINDOW))
-            x[own.start - a : own.stop - a, j], y[own.start - a : own.stop - a, j] = texts[i][own], labels[i][own]
+            x[own.start - a : own.stop - a, j], y[:, j] = texts[i][own], labels[i]
         _, g = gru.gradients(p, x, y, (~_WHITE[x]).astype(np.float32))
         adam.step(p, g, rates[0] + (rates[1] - rates[0]) * step / steps)
     return {"p": p, "m": adam.m, "v": adam.v, "t": adam.t}
@@ -207,9 +253,8 @@ def _round(data: DataFrame, state: dict, steps: int, rates: tuple[float, float],
     """One round: every shard trains from the same state; the mean of the results."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sorted((bytes(t), bytes(y)) for b in batches for t, y in zip(b["text"], b["labels"]))
-        texts = [np.frombuffer(t, np.uint8) for t, _ in rows]
-        labels = [np.frombuffer(y, np.uint8) for _, y in rows]
+        rows = sorted((bytes(t), int(y)) for b in batches for t, y in zip(b["text"], b["label"]))
+        texts, labels = [np.frombuffer(pieces(t)[1][0][1], np.uint8) for t, _ in rows], [y for _, y in rows]
         own = {k: {n: x.copy() for n, x in state[k].items()} for k in "pmv"} | {"t": state["t"]}
         yield pd.DataFrame({"state": [pickle.dumps(_learn(own, texts, labels, steps, rates, seed))] if rows else []})
 
@@ -224,42 +269,34 @@ def _variants(text: bytes) -> Iterator[bytes]:
         yield text.replace(*((b"    ", b"\t"), (b"  ", b"\t"), (b" ", b"  "), (b"\n", b"\r\n"))[k])
 
 
-def _first_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _with_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(v, bytes([y]) * len(v), y) for t, y in zip(b["text"], b["label"]) for v in _variants(bytes(t))]
-        yield pd.DataFrame(rows, columns=["text", "labels", "label"])
+        yield pd.DataFrame([(v, y) for t, y in zip(b["text"], b["label"]) for v in _variants(bytes(t))], columns=["text", "label"])
 
 
-def _own_labels(p: dict):
-    def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _agreeing(p: dict):
+    """Keeps the texts that the network finds to be of their label outside marked blocks."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for t, y, (segs, n) in zip(b["text"], b["label"], label_lines(p, list(map(bytes, b["text"])))):
-                if not segs or main_language(segs, n)[0] != y:
-                    continue
-                line = np.full(len(n), y, np.uint8)
-                mark = marks(bytes(t).split(b"\n"))
-                for a, z, lang, _ in segs:  # only a marked block is sure enough to teach from
-                    if (mark[a - 1 : z] == 3).all():
-                        line[a - 1 : z] = lang
-                feeds = np.frombuffer(t, np.uint8) == 10
-                out.append((t, line[np.cumsum(feeds) - feeds].tobytes(), y))
-            yield pd.DataFrame(out, columns=["text", "labels", "label"])
-
-    return relabel
+            outer = [pieces(bytes(t))[1][0][1] for t in b["text"]]
+            found = [{x for _, _, x, _ in segs} for segs, _ in label_lines(p, outer)]
+            yield b[[f == {y} for f, y in zip(found, b["label"])]]
+
+    return keep
 
 
 def train(docs: DataFrame, rounds: tuple[int, int] = ROUNDS, steps: int = STEPS, per_language: int = SAMPLE) -> dict:
     """The network's weights."""
-    schema = "text binary, labels binary, label int"
-    data = settle(sample(docs, per_language).repartition(WORKERS).mapInPandas(_first_labels, schema))
+    schema = "text binary, label int"
+    data = settle(sample(docs, per_language).repartition(WORKERS).mapInPandas(_with_variants, schema))
     if data.isEmpty():
         raise ValueError("no document has a known language label")
     p = gru.init(len(LANGUAGES), HIDDEN, SEED)
     state = {"p": p, "m": {k: np.zeros_like(x) for k, x in p.items()}, "v": {k: np.zeros_like(x) for k, x in p.items()}, "t": 0}
     for phase, n in enumerate(rounds):
         if phase:
-            data = settle(data.repartition(WORKERS).mapInPandas(_own_labels(state["p"]), schema))
+            data = settle(data.repartition(WORKERS).mapInPandas(_agreeing(state["p"]), schema))
             if data.isEmpty():
                 break
         for i in range(n):
