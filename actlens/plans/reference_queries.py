@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.common import norm, read
+from actlens.common import norm, read, settle
 from actlens.functions import smiles as S
 from actlens.operators import concepts as C
 from actlens.operators import molecules as M
@@ -87,7 +87,7 @@ def _on(query):
 
 def queries() -> dict:
     inv = lambda t: L.token_preference_inverse(t.acts, t.tokens)
-    fpc = lambda t: association.prefilter(t.acts, t.samples, t.labels, 5)
+    fpc = lambda t: settle(association.prefilter(t.acts, t.samples, t.labels, 5))
     cm = lambda t, sub=False, own=False: C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, fpc(t) if own else None, sub)
     return {
         "latent_density": _on(lambda t: _round(L.density(t.acts, t.samples, _features(t.s)))),
