@@ -30,11 +30,11 @@ def _features(s: SparkSession) -> DataFrame:
 
 
 class _In:
-    """The canonical tables of a folder."""
+    """The canonical tables of a folder; unless whole, with the activations under MAX_VALUE only, as the SQL of the plain names has it."""
 
-    def __init__(self, s: SparkSession, d: str):
+    def __init__(self, s: SparkSession, d: str, whole: bool = False):
         self.s, self.d = s, d
-        self.samples, self.acts = T.samples(s, d), T.acts(s, d)
+        self.samples, self.acts = T.samples(s, d), T.acts(s, d) if whole else T.acts(s, d, T.MAX_VALUE)
         self.tokens, self.labels, self.concepts = T.tokens(self.samples), T.label_tokens(s, d), T.concepts(s, d)
 
 
@@ -81,50 +81,63 @@ def _zscores(s: SparkSession, d: str) -> DataFrame:
     return _round(P.replicate_scores(lists.where("len > 1"), ["feature"], "run_id", "v"))
 
 
-def _on(query):
-    return lambda s, d: query(_In(s, d))
+def _on(query, whole: bool = False):
+    return lambda s, d: query(_In(s, d, whole))
+
+
+def _fpc_rows(t: _In) -> DataFrame:
+    return settle(association.prefilter(t.acts, t.samples, t.labels, 5))
+
+
+def _cm(t: _In, sub: bool = False, own: bool = False) -> DataFrame:
+    return C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, _fpc_rows(t) if own else None, sub)
+
+
+def _on_acts() -> dict:
+    """Queries of the canonical tables; each is registered by its name and, over all finite positive activations, as name_whole."""
+    return {
+        "latent_density": lambda t: _round(L.density(t.acts, t.samples, _features(t.s))),
+        "latent_pooling": lambda t: _round(L.fired(t.acts, t.samples), 3),
+        "bin_map": lambda t: L.bin_map(t.acts, BINS),
+        "token_preference": lambda t: _round(L.token_preference(t.acts, t.tokens)),
+        "token_preference_inverse": lambda t: L.token_preference_inverse(t.acts, t.tokens),
+        "token_inverse_samples": lambda t: L.inverse_samples(t.acts, t.tokens),
+        "token_preference_summary": lambda t: _round(L.preference_summary(t.acts, t.tokens), 10),
+        "token_role_preference": lambda t: L.role_counts(t.acts, t.tokens),
+        "token_role_summary": lambda t: _round(L.preference_summary(t.acts, t.tokens, by_role=True), 10),
+        "positional_latents": lambda t: _round(L.positional(t.acts, t.samples)),
+        "dead_latents": lambda t: L.dead(t.acts, _features(t.s)),
+        "latent_max": lambda t: _round(L.latent_max(t.acts)),
+        "act_histogram": lambda t: L.histogram(t.acts, t.tokens, 0.25, 40),
+        "smd_token": lambda t: _round(C.concept_smd(t.acts, t.samples, t.labels)),
+        "smd_pooled": lambda t: _round(C.concept_smd(t.acts, t.samples, t.labels, pooled=True)),
+        "repr_smd": lambda t: _round(C.representation_smd(t.acts, *_reference_pairs(t), _features(t.s))),
+        "cm_all": _cm,
+        "cm_substructure": lambda t: _cm(t, True),
+        "concept_f1": lambda t: C.scores(_cm(t)),
+        "substructure_f1": lambda t: C.scores(_cm(t, True), substructure=True),
+        "concept_association": lambda t: association.associate(t.acts, t.samples, t.labels, t.concepts, THRESHOLDS, K),
+        "best_latents": lambda t: association.best_latents(C.scores(_cm(t))),
+        "topk_activation": lambda t: _round(sae.top_k_rows(t.acts, ["sample_idx", "token_idx"], 2)),
+    }
 
 
 def queries() -> dict:
-    inv = lambda t: L.token_preference_inverse(t.acts, t.tokens)
-    fpc = lambda t: settle(association.prefilter(t.acts, t.samples, t.labels, 5))
-    cm = lambda t, sub=False, own=False: C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, fpc(t) if own else None, sub)
     return {
-        "latent_density": _on(lambda t: _round(L.density(t.acts, t.samples, _features(t.s)))),
-        "latent_pooling": _on(lambda t: _round(L.fired(t.acts, t.samples), 3)),
-        "bin_map": _on(lambda t: L.bin_map(t.acts, BINS)),
-        "token_preference": _on(lambda t: _round(L.token_preference(t.acts, t.tokens))),
-        "token_preference_inverse": _on(inv),
-        "token_inverse_samples": _on(lambda t: L.inverse_samples(t.acts, t.tokens)),
-        "token_preference_summary": _on(lambda t: _round(L.preference_summary(t.acts, t.tokens), 10)),
-        "token_role_preference": _on(lambda t: L.role_counts(t.acts, t.tokens)),
-        "token_role_summary": _on(lambda t: _round(L.preference_summary(t.acts, t.tokens, by_role=True), 10)),
-        "positional_latents": _on(lambda t: _round(L.positional(t.acts, t.samples))),
-        "dead_latents": _on(lambda t: L.dead(t.acts, _features(t.s))),
-        "latent_max": _on(lambda t: _round(L.latent_max(t.acts))),
+        **{name: _on(q) for name, q in _on_acts().items()},
+        **{f"{name}_whole": _on(q, True) for name, q in _on_acts().items()},
         "act_distribution": _on(lambda t: _round(L.distribution(t.acts, t.tokens, 1207, "^[cn]$", t.labels))),
-        "act_histogram": _on(lambda t: L.histogram(t.acts, t.tokens, 0.25, 40)),
         "concept_labels": _on(lambda t: t.labels),
         "sampled_labels": _on(lambda t: C.sampled(t.labels, 0.2)),
-        "smd_token": _on(lambda t: _round(C.concept_smd(t.acts, t.samples, t.labels))),
-        "smd_pooled": _on(lambda t: _round(C.concept_smd(t.acts, t.samples, t.labels, pooled=True))),
-        "repr_smd": _on(lambda t: _round(C.representation_smd(t.acts, *_reference_pairs(t), _features(t.s)))),
-        "fpc_topk": _on(fpc),
-        "cm_all": _on(cm),
-        "cm_fpc": _on(lambda t: cm(t, own=True)),
-        "cm_substructure": _on(lambda t: cm(t, True)),
-        "cm_substructure_fpc": _on(lambda t: cm(t, True, True)),
-        "concept_f1": _on(lambda t: C.scores(cm(t))),
-        "substructure_f1": _on(lambda t: C.scores(cm(t, True), substructure=True)),
-        "concept_association": _on(lambda t: association.associate(t.acts, t.samples, t.labels, t.concepts, THRESHOLDS, K)),
-        "best_latents": _on(lambda t: association.best_latents(C.scores(cm(t)))),
+        "fpc_topk": _on(_fpc_rows),
+        "cm_fpc": _on(lambda t: _cm(t, own=True)),
+        "cm_substructure_fpc": _on(lambda t: _cm(t, True, True)),
         "layer_norm": lambda s, d: _exploded(_hidden(s, d).select("vec_id", sae.normed(F.col("vec")).alias("vec"))),
         "sae_encode": lambda s, d: _round(sae.encode(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
         "sae_decode": lambda s, d: _exploded(sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
         "sae_reconstruction_mse": lambda s, d: _round(sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K).select("vec_id", "mse")),
         "ablate_latent": lambda s, d: _exploded(sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K, ABLATED)),
         "normalized_weights": _normalized,
-        "topk_activation": _on(lambda t: _round(sae.top_k_rows(t.acts, ["sample_idx", "token_idx"], 2))),
         "smiles_tokens": _on(lambda t: M.token_rows(t.samples)),
         "atom_token_map": _on(lambda t: M.atom_map(t.samples)),
         "mask_enum": _on(lambda t: M.mask_enum(t.samples)),
@@ -238,7 +251,7 @@ ab2 as (select vec_id, f, v from (select * from ab qualify row_number() over (pa
 """
 
 
-def oracle_sql() -> dict[str, str]:
+def _oracle_sql() -> dict[str, str]:
     fired = "select s, f, count(*) as k, n, max(v) as mx, sum(v) / n as me, sum(v * v) / n as ms from a join samp using (s) where n > 0 group by s, f, n"
     pref = "select f, token, count(*) as n from ft group by all"
     summary = lambda kind: f"""with {_BASE}, c as (select f, {kind} as kind, count(*) as n from ft group by all),
@@ -325,3 +338,8 @@ def oracle_sql() -> dict[str, str]:
             g as (select feature, idx, avg(z) as mean, stddev_pop(z) as std from z group by all)
             select feature, idx::int as idx, round(mean, 6) as mean, round(std, 6) as std, (row_number() over (partition by feature order by mean desc nulls last, idx))::int as rank from g""",
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    given = _oracle_sql()
+    return given | {f"{name}_whole": given[name].replace("data < 1e12", "isfinite(data)") for name in _on_acts()}

@@ -3,7 +3,7 @@
 samples(sample_idx, smiles, n_tokens, chunk); acts(sample_idx, token_idx, feature, value); tokens(sample_idx,
 token_idx, token); label_tokens(sample_idx, concept_idx, match_idx, token_idx).
 
-Only positive activations below MAX_VALUE are stored entries (1e30 stands for a failed measurement); repeated positions take the greatest value. An impossible or null
+Finite positive activations are stored entries; repeated positions take the greatest value. An impossible or null
 molptr is replaced by the number of tokens in the string. Labels take concept names in any case and spacing; repeated
 (sample, concept) rows join their matches; a match is its set of tokens, numbered in order of these sets.
 """
@@ -29,10 +29,10 @@ def tokens(samples: DataFrame) -> DataFrame:
     return samples.select("sample_idx", F.posexplode(S.tokens(F.col("smiles"))).alias("token_idx", "token"))
 
 
-def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clustered by (sample_idx, feature), so that grouping by these needs no further shuffle."""
+def acts(spark: SparkSession, sf_dir: str, below: float = float("inf")) -> DataFrame:
+    """Clustered by (sample_idx, feature), so that grouping by these needs no further shuffle. below: only values under it; by default all finite ones."""
     v = F.col("data").cast("double")
-    rows = read(spark, sf_dir, "activations").where(v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < MAX_VALUE)).where("sample_idx is not null and token_idx is not null and feature is not null")
+    rows = read(spark, sf_dir, "activations").where(v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < below)).where("sample_idx is not null and token_idx is not null and feature is not null")
     return rows.select("sample_idx", "token_idx", "feature", v.alias("value")).repartition("sample_idx", "feature").groupBy("sample_idx", "feature", "token_idx").agg(F.max("value").alias("value"))
 
 
