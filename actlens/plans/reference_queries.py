@@ -85,12 +85,13 @@ def _on(query, whole: bool = False):
     return lambda s, d: query(_In(s, d, whole))
 
 
-def _fpc_rows(t: _In) -> DataFrame:
-    return settle(association.prefilter(t.acts, t.samples, t.labels, 5))
+def _fpc_rows(t: _In, k: int = 5) -> DataFrame:
+    return settle(association.prefilter(t.acts, t.samples, t.labels, k))
 
 
-def _cm(t: _In, sub: bool = False, own: bool = False) -> DataFrame:
-    return C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, _fpc_rows(t) if own else None, sub)
+def _cm(t: _In, sub: bool = False, k: int | None = None) -> DataFrame:
+    """k: over the k latents of each concept only."""
+    return C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, _fpc_rows(t, k) if k else None, sub)
 
 
 def _on_acts() -> dict:
@@ -130,8 +131,11 @@ def queries() -> dict:
         "concept_labels": _on(lambda t: t.labels),
         "sampled_labels": _on(lambda t: C.sampled(t.labels, 0.2)),
         "fpc_topk": _on(_fpc_rows),
-        "cm_fpc": _on(lambda t: _cm(t, own=True)),
-        "cm_substructure_fpc": _on(lambda t: _cm(t, True, True)),
+        "cm_fpc": _on(lambda t: _cm(t, k=5)),
+        "cm_substructure_fpc": _on(lambda t: _cm(t, True, 5)),
+        "fpc_topk_whole": _on(lambda t: _fpc_rows(t, K), True),
+        "cm_fpc_whole": _on(lambda t: _cm(t, k=K), True),
+        "cm_substructure_fpc_whole": _on(lambda t: _cm(t, True, K), True),
         "layer_norm": lambda s, d: _exploded(_hidden(s, d).select("vec_id", sae.normed(F.col("vec")).alias("vec"))),
         "sae_encode": lambda s, d: _round(sae.encode(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
         "sae_decode": lambda s, d: _exploded(sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
@@ -342,4 +346,5 @@ def _oracle_sql() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     given = _oracle_sql()
-    return given | {f"{name}_whole": given[name].replace("data < 1e12", "isfinite(data)") for name in _on_acts()}
+    whole = {name: given[name] for name in _on_acts()} | {name: given[name].replace(_fpc(5), _fpc(K)) for name in ("fpc_topk", "cm_fpc", "cm_substructure_fpc")}
+    return given | {f"{name}_whole": sql.replace("data < 1e12", "isfinite(data)") for name, sql in whole.items()}

@@ -19,3 +19,13 @@ def test_whole_maxima_reach_the_largest_value(spark):
     want = {r.feature: round(r.m, 6) for r in data.groupBy("feature").agg({"data": "max"}).toDF("feature", "m").collect()}
     got = {r.feature: r.max_value for r in entry.queries()["latent_max_whole"](spark, SF).collect()}
     assert max(want.values()) >= 1e12 and got == want
+
+
+def test_64_latents_a_concept(spark):
+    pairs = spark.createDataFrame(entry.queries()["fpc_topk_whole"](spark, SF).collect())
+    most = {r.concept_idx: r["count"] for r in pairs.groupBy("concept_idx").count().collect()}
+    smd = entry.queries()["smd_token_whole"](spark, SF)
+    positive = {r.concept_idx: r["count"] for r in smd.where("smd > 0 and not isnan(smd)").groupBy("concept_idx").count().collect()}
+    assert max(most.values()) == 64 and all(most[c] >= min(64, n) for c, n in positive.items())
+    cells = entry.queries()["cm_fpc_whole"](spark, SF).select("concept_idx", "feature").distinct()
+    assert cells.count() == pairs.count()
