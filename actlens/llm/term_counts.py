@@ -6,7 +6,8 @@ subtries: (prefix, suffix -> counters). The prefixes that burst anywhere are the
 prefix another worker burst is burst too, so equal prefixes name equal subtrees, and these are merged per prefix.
 The table has at most (terms of the largest worker / BURST) rows a level and worker; beyond ROUTES the shallowest are
 kept, and only the size of the merged subtrees grows, never their meaning. Terms sharing a prefix of DEPTH characters
-stay in one container of suffixes, so very long terms do no harm.
+stay in one container of suffixes, so very long terms do no harm. Containers of one prefix that hold more than PIECE
+terms together are split by a hash of the suffix, so no merge meets them all.
 
 Defined results: terms keep their case and lose white space at both ends; null and blank terms are none; a null count
 is 0; a term repeated in a record counts as one record with its counts added; arrays of unequal length lack counts or
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from actlens.common import settle
 
-#: Terms of a container before it bursts; longest prefix that bursts; size of the routing table; terms a task holds before it ships its subtries.
-BURST, DEPTH, ROUTES, FLUSH = 2048, 24, 100_000, 500_000
+#: Terms of a container before it bursts; longest prefix that bursts; size of the routing table; terms a task holds before it ships its subtries; terms of a merge.
+BURST, DEPTH, ROUTES, FLUSH, PIECE = 2048, 24, 100_000, 500_000, 200_000
 
 
 def _merge(into: list, c: list) -> None:
@@ -93,8 +95,8 @@ def latest(token_preference: DataFrame) -> DataFrame:
 
 
 def _worker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trie, records, columns = BurstTrie(), 0, ["prefix", "ends", "subtrie", "records"]
-    rows = lambda: [(p, ends, None if box is None else pickle.dumps(dict(box)), 0) for p, ends, box in trie.parts()]
+    trie, records, columns = BurstTrie(), 0, ["prefix", "ends", "subtrie", "terms", "records"]
+    rows = lambda: [(p, ends, None if box is None else pickle.dumps(dict(box)), len(box or ()), 0) for p, ends, box in trie.parts()]
     for b in batches:
         if trie.terms > FLUSH:
             yield pd.DataFrame(rows(), columns=columns)
@@ -113,7 +115,7 @@ def _worker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             records += bool(own)
             for t, c in own.items():
                 trie.add(t, c)
-    yield pd.DataFrame([*rows(), (None, False, None, records)], columns=columns)
+    yield pd.DataFrame([*rows(), (None, False, None, 0, records)], columns=columns)
 
 
 def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,26 +130,50 @@ def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(prefix + s, *c) for s, c in whole.items()], columns=["token", "total", "records", "lowest", "highest"]).astype({"lowest": "float64", "highest": "float64"})
 
 
+def _pieces(routed: DataFrame) -> DataFrame:
+    """(prefix, ends, piece, subtrie): containers of a prefix with more than PIECE terms in all cut by a hash of the suffix."""
+    sizes = routed.where("not ends").groupBy("prefix").agg(F.sum("terms").alias("n")).where(F.col("n") > PIECE)
+    cuts = {r.prefix: -(-r.n // PIECE) for r in sizes.collect()}  # at most (terms of all tasks / PIECE)
+    if not cuts:
+        return routed.select("prefix", "ends", F.lit(0).alias("piece"), "subtrie")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for prefix, ends, blob in zip(b["prefix"], b["ends"], b["subtrie"]):
+                n = 1 if ends else cuts.get(prefix, 1)
+                if n == 1:
+                    out.append((prefix, ends, 0, blob))
+                    continue
+                boxes: dict = {}
+                for suffix, c in pickle.loads(blob).items():
+                    boxes.setdefault(zlib.crc32(suffix.encode("utf-8", "surrogatepass")) % n, {})[suffix] = c
+                out += [(prefix, ends, i, pickle.dumps(box)) for i, box in boxes.items()]
+            yield pd.DataFrame(out, columns=["prefix", "ends", "piece", "subtrie"])
+
+    return routed.select("prefix", "ends", "subtrie").mapInPandas(cut, "prefix string, ends boolean, piece int, subtrie binary")
+
+
 def term_counts(token_preference: DataFrame) -> DataFrame:
     """(token, total, records, lowest, highest, mark): mark is rare (fewer than 3 records or a total below 5), common (in more than half of the records that have a term), or null; rare goes first."""
-    parts = settle(latest(token_preference).mapInPandas(_worker, "prefix string, ends boolean, subtrie binary, records long"))
+    parts = settle(latest(token_preference).mapInPandas(_worker, "prefix string, ends boolean, subtrie binary, terms long, records long"))
     routes = {r.prefix for r in parts.where("prefix is not null and subtrie is null").groupBy("prefix").agg(F.lit(1)).orderBy(F.length("prefix"), "prefix").limit(ROUTES).select("prefix").collect()}
     records = parts.agg(F.sum("records")).first()[0] or 0
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for prefix, ends, blob in zip(b["prefix"], b["ends"], b["subtrie"]):
+            for prefix, ends, blob, terms in zip(b["prefix"], b["ends"], b["subtrie"], b["terms"]):
                 # a subtree that every worker cut alike goes on as it is; any other is burst at the routes
                 if all(prefix[:i] in routes for i in range(len(prefix) + ends)) and (ends or prefix not in routes):
-                    out.append((prefix, ends, blob))
+                    out.append((prefix, ends, blob, terms))
                     continue
                 trie = BurstTrie(routes=routes)
                 for suffix, c in pickle.loads(blob).items():
                     trie.add(prefix + suffix, c)
-                out += [(p, e, pickle.dumps(dict(box))) for p, e, box in trie.parts() if box]
-            yield pd.DataFrame(out, columns=["prefix", "ends", "subtrie"])
+                out += [(p, e, pickle.dumps(dict(box)), len(box)) for p, e, box in trie.parts() if box]
+            yield pd.DataFrame(out, columns=["prefix", "ends", "subtrie", "terms"])
 
-    routed = parts.where("subtrie is not null").select("prefix", "ends", "subtrie").mapInPandas(route, "prefix string, ends boolean, subtrie binary")
-    terms = routed.groupBy("prefix", "ends").applyInPandas(_merged, "token string, total long, records long, lowest double, highest double")
+    routed = parts.where("subtrie is not null").select("prefix", "ends", "subtrie", "terms").mapInPandas(route, "prefix string, ends boolean, subtrie binary, terms long")
+    terms = _pieces(settle(routed)).groupBy("prefix", "ends", "piece").applyInPandas(_merged, "token string, total long, records long, lowest double, highest double")
     return terms.withColumn("mark", F.when((F.col("records") < 3) | (F.col("total") < 5), "rare").when(F.col("records") * 2 > records, "common"))
