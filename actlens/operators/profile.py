@@ -120,15 +120,15 @@ def latent_max(acts: DataFrame) -> DataFrame:
     return acts.groupBy("feature").agg(F.max("value").alias("max_value"))
 
 
-def distribution(acts: DataFrame, tokens: DataFrame, feature: int, pattern: str, labels: DataFrame | None = None) -> DataFrame:
-    """(sample_idx, token_idx, value, token, group): one latent's activations; group is `labelled` where a label holds the token, else `pattern` where the token matches, else `other`."""
-    one = acts.where(F.col("feature") == feature).join(tokens, ["sample_idx", "token_idx"])
+def distribution(acts: DataFrame, tokens: DataFrame, feature: int | None, pattern: str, labels: DataFrame | None = None) -> DataFrame:
+    """([feature, ]sample_idx, token_idx, value, token, group): one latent's activations, or with feature=None those of all, with the feature; group is `labelled` where a label holds the token, else `pattern` where the token matches, else `other`."""
+    one = (acts if feature is None else acts.where(F.col("feature") == feature)).join(tokens, ["sample_idx", "token_idx"])
     hit = F.lit(False)
     if labels is not None:
         one = one.join(labels.select("sample_idx", "token_idx").distinct().withColumn("_hit", F.lit(True)), ["sample_idx", "token_idx"], "left")
         hit = F.coalesce("_hit", F.lit(False))
     group = F.when(hit, "labelled").when(F.col("token").rlike(pattern), "pattern").otherwise("other")
-    return one.select("sample_idx", "token_idx", "value", "token", group.alias("group"))
+    return one.select(*(["feature"] if feature is None else []), "sample_idx", "token_idx", "value", "token", group.alias("group"))
 
 
 def histogram(acts: DataFrame, tokens: DataFrame, width: float, bins: int) -> DataFrame:

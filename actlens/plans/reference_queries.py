@@ -128,6 +128,7 @@ def queries() -> dict:
         **{name: _on(q) for name, q in _on_acts().items()},
         **{f"{name}_whole": _on(q, True) for name, q in _on_acts().items()},
         "act_distribution": _on(lambda t: _round(L.distribution(t.acts, t.tokens, 1207, "^[cn]$", t.labels))),
+        "act_distribution_whole": _on(lambda t: _round(L.distribution(t.acts, t.tokens, None, "^[cn]$", t.labels)), True),
         "concept_labels": _on(lambda t: t.labels),
         "sampled_labels": _on(lambda t: C.sampled(t.labels, 0.2)),
         "fpc_topk": _on(_fpc_rows),
@@ -347,4 +348,5 @@ def _oracle_sql() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     given = _oracle_sql()
     whole = {name: given[name] for name in _on_acts()} | {name: given[name].replace(_fpc(5), _fpc(K)) for name in ("fpc_topk", "cm_fpc", "cm_substructure_fpc")}
+    whole["act_distribution"] = given["act_distribution"].replace("select ft.s as", "select ft.f as feature, ft.s as").removesuffix(" where f = 1207")
     return given | {f"{name}_whole": sql.replace("data < 1e12", "isfinite(data)") for name, sql in whole.items()}

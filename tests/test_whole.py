@@ -29,3 +29,11 @@ def test_64_latents_a_concept(spark):
     assert max(most.values()) == 64 and all(most[c] >= min(64, n) for c, n in positive.items())
     cells = entry.queries()["cm_fpc_whole"](spark, SF).select("concept_idx", "feature").distinct()
     assert cells.count() == pairs.count()
+
+
+def test_distribution_of_every_latent(spark):
+    every = entry.queries()["act_distribution_whole"](spark, SF).cache()
+    assert {r.feature for r in every.select("feature").distinct().collect()} == {r.feature for r in entry.queries()["token_preference_whole"](spark, SF).select("feature").distinct().collect()}
+    one = entry.queries()["act_distribution"](spark, SF)
+    mine = every.where("feature = 1207 and value < 1e12").drop("feature")
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, mine.collect()))
