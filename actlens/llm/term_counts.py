@@ -1,13 +1,17 @@
 """Occurrences and records of every distinct term, by burst tries.
 
 Each task walks its records through a burst trie: a container holds the counters of the terms below one prefix and
-bursts into one child per next character when it exceeds BURST terms. What a task ships is not rows but compact
-subtries: (prefix, suffix -> counters). The prefixes that burst anywhere are the routing table: a container whose
-prefix another worker burst is burst too, so equal prefixes name equal subtrees, and these are merged per prefix.
-The table has at most (terms of the largest worker / BURST) rows a level and worker; beyond ROUTES the shallowest are
-kept, and only the size of the merged subtrees grows, never their meaning. Terms sharing a prefix of DEPTH characters
-stay in one container of suffixes, so very long terms do no harm. Containers of one prefix that hold more than PIECE
-terms together are split by a hash of the suffix, so no merge meets them all.
+bursts, at the next character after what all of them share, when it exceeds BURST terms. What a task ships is not rows
+but compact subtries (prefix, suffix -> counters), and the weight (terms below) of every prefix that burst or holds a
+container.
+
+Weights add up over the tasks. The prefixes with more than ROUTED entries in all, the ROUTES heaviest of them, are the
+routing table: adaptive prefixes, deep where terms are many. It is bounded whatever the data (ROUTES prefixes of at most
+DEPTH characters), and it needs no closure: a term's subtree is named by the longest routing prefix that it begins with
+and the character after it, which every task works out alike. Tasks route and merge the subtries they read, so a
+partition ships each term once; then equal names are merged. Beyond the table's reach (a subtree of more than PIECE
+entries, whatever its terms share) a subtree is cut by a hash of the term, so no merge meets more than about PIECE
+entries, unless they are of one term.
 
 Defined results: terms keep their case and lose white space at both ends; null and blank terms are none; a null count
 is 0; a term repeated in a record counts as one record with its counts added; arrays of unequal length lack counts or
@@ -17,6 +21,7 @@ ratios at the end; null keys are keys; of versions with equal written_at the one
 from __future__ import annotations
 
 import math
+import os
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from actlens.common import settle
 
-#: Terms of a container before it bursts; longest prefix that bursts; size of the routing table; terms a task holds before it ships its subtries; terms of a merge.
-BURST, DEPTH, ROUTES, FLUSH, PIECE = 2048, 24, 100_000, 500_000, 200_000
+#: Terms of a container before it bursts; entries of all tasks below a prefix from which it routes; most routing prefixes, and their greatest length; terms a task holds before it ships them; entries of a merge.
+BURST, ROUTED, ROUTES, DEPTH, FLUSH, PIECE = 32, 32, 65_536, 200, 500_000, 200_000
 
 
 def _merge(into: list, c: list) -> None:
@@ -39,53 +44,58 @@ def _merge(into: list, c: list) -> None:
 
 
 class BurstTrie:
-    """Counters [occurrences, records, lowest, highest] by term. A node is a dict child -> node; a container is a Container."""
+    """Counters [occurrences, records, lowest, highest] by term. A Container maps suffixes to counters; a node is [what all terms below share, child by next character]; the child of the empty key holds the term that ends there."""
 
     class Container(dict):
         """suffix -> counters."""
 
-    def __init__(self, burst: int = BURST, depth: int = DEPTH, routes: set[str] | None = None):
-        self.burst, self.depth, self.routes, self.root, self.terms = burst, depth, routes, self.Container(), 0
+    def __init__(self, burst: int = BURST):
+        self.burst, self.root, self.terms = burst, self.Container(), 0
 
-    def _full(self, prefix: str, box: Container) -> bool:
-        return prefix in self.routes if self.routes is not None else len(box) > self.burst and len(prefix) < self.depth
+    def _grown(self, box: Container) -> list:
+        shared = os.path.commonprefix([min(box), max(box)])
+        children: dict = {}
+        for suffix, c in box.items():
+            rest = suffix[len(shared) :]
+            children.setdefault(rest[:1], self.Container())[rest[1:]] = c
+        return [shared, children]
 
     def add(self, term: str, c: list) -> None:
-        parent, key, node, at = None, "", self.root, 0
+        place, key, node, at = self.__dict__, "root", self.root, 0
         while True:
             if isinstance(node, self.Container):
-                if not self._full(term[:at], node):
-                    break
-                grown: dict = {}
-                for suffix, old in node.items():  # the term that ends here is the child of the empty key
-                    grown.setdefault(suffix[:1], self.Container())[suffix[1:]] = old
-                node = grown
-                if parent is None:
-                    self.root = node
-                else:
-                    parent[key] = node
-            key = term[at : at + 1]
-            if not key:
-                node = node.setdefault("", self.Container())
-                break
-            parent, at = node, at + 1
-            node = node.setdefault(key, self.Container())
-        if (have := node.get(term[at:])) is None:
-            node[term[at:]] = list(c)
-            self.terms += 1
-        else:
-            _merge(have, c)
-
-    def parts(self) -> Iterator[tuple[str, bool, Container | None]]:
-        """(prefix, ends, container) of every container, and (prefix, False, None) of every node that burst. ends: it holds the term equal to the prefix, and no other."""
-        todo = [("", False, self.root)]
+                if (have := node.get(term[at:])) is not None:
+                    return _merge(have, c)
+                if len(node) < self.burst or key == "":
+                    node[term[at:]] = list(c)
+                    self.terms += 1
+                    return None
+                node = place[key] = self._grown(node)
+            shared, children = node
+            if not term.startswith(shared, at):  # the term leaves the node's shared stretch: it becomes two nodes
+                k = len(os.path.commonprefix([shared, term[at : at + len(shared)]]))
+                node[:] = [shared[:k], {shared[k]: [shared[k + 1 :], children]}]
+                continue
+            at += len(shared)
+            place, key = children, term[at : at + 1]
+            node = children.setdefault(key, self.Container())
+            at += len(key)
+
+    def parts(self) -> Iterator[tuple[str, bool, Container | None, int]]:
+        """(prefix, ends, container, terms) of every container, and of every node, with container None. ends: it holds the term equal to the prefix, and no other."""
+        todo: list = [("", False, self.root, [])]
+        nodes = []
         while todo:
-            prefix, ends, node = todo.pop()
+            prefix, ends, node, above = todo.pop()
             if isinstance(node, self.Container):
-                yield prefix, ends, node
+                for count in above:
+                    count[0] += len(node)
+                yield prefix, ends, node, len(node)
             else:
-                yield prefix, False, None
-                todo += [(prefix + k, not k, v) for k, v in node.items()]
+                prefix += node[0]
+                nodes.append((prefix, own := [0]))
+                todo += [(prefix + k, not k, v, [*above, own]) for k, v in node[1].items()]
+        yield from ((prefix, False, None, count[0]) for prefix, count in nodes)
 
 
 def latest(token_preference: DataFrame) -> DataFrame:
@@ -94,13 +104,19 @@ def latest(token_preference: DataFrame) -> DataFrame:
     return token_preference.groupBy("run_id", "feature").agg(F.max_by(row, F.struct("written_at", F.xxhash64(row))).alias("r")).select("r.*")
 
 
-def _worker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trie, records, columns = BurstTrie(), 0, ["prefix", "ends", "subtrie", "terms", "records"]
-    rows = lambda: [(p, ends, None if box is None else pickle.dumps(dict(box)), len(box or ()), 0) for p, ends, box in trie.parts()]
+PARTS = "prefix string, ends boolean, subtrie binary, terms long, records long"
+
+
+def _shipped(trie: BurstTrie) -> list[tuple]:
+    return [(p, ends, None if box is None else pickle.dumps(dict(box)), n, 0) for p, ends, box, n in trie.parts() if n]
+
+
+def _worker(batches: Iterator[pd.DataFrame], burst: int, flush: int) -> Iterator[pd.DataFrame]:
+    trie, records, columns = BurstTrie(burst), 0, ["prefix", "ends", "subtrie", "terms", "records"]
     for b in batches:
-        if trie.terms > FLUSH:
-            yield pd.DataFrame(rows(), columns=columns)
-            trie = BurstTrie()
+        if trie.terms > flush:
+            yield pd.DataFrame(_shipped(trie), columns=columns)
+            trie = BurstTrie(burst)
         for terms, counts, ratios in zip(b["token"], b["token_Count"], b["token_Global_Ratio"]):
             own: dict = {}
             n, m = 0 if counts is None else len(counts), 0 if ratios is None else len(ratios)
@@ -115,65 +131,104 @@ def _worker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             records += bool(own)
             for t, c in own.items():
                 trie.add(t, c)
-    yield pd.DataFrame([*rows(), (None, False, None, 0, records)], columns=columns)
+    yield pd.DataFrame([*_shipped(trie), (None, False, None, 0, records)], columns=columns)
 
 
-def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    whole: dict = {}
-    prefix = key[0]
-    for blob in pdf["subtrie"]:
-        for suffix, c in pickle.loads(blob).items():
-            if (have := whole.get(suffix)) is None:
-                whole[suffix] = c
-            else:
-                _merge(have, c)
-    return pd.DataFrame([(prefix + s, *c) for s, c in whole.items()], columns=["token", "total", "records", "lowest", "highest"]).astype({"lowest": "float64", "highest": "float64"})
+class Routing:
+    """Names the subtree of a term: the longest routing prefix that it begins with, and the next character."""
+
+    def __init__(self, prefixes: set[str]):
+        self.prefixes, self.lengths = prefixes, sorted({len(p) for p in prefixes}, reverse=True)
+
+    def of(self, term: str) -> str:
+        longest = next((n for n in self.lengths if n <= len(term) and term[:n] in self.prefixes), 0)
+        return term[: longest + 1]
+
+
+def routing_prefixes(parts: DataFrame, routed: int = ROUTED, routes: int = ROUTES) -> set[str]:
+    """The heaviest prefixes with more than `routed` entries, at most `routes`: a bounded table."""
+    heavy = parts.where(~F.col("ends") & (F.length("prefix").between(1, DEPTH))).groupBy("prefix").agg(F.sum("terms").alias("n")).where(F.col("n") > routed)
+    return {r.prefix for r in heavy.orderBy(F.desc("n"), "prefix").limit(routes).collect()}
+
+
+def _routed(parts: DataFrame, prefixes: set[str], flush: int) -> DataFrame:
+    """(route, subtrie, terms): the subtries that a task reads, merged by route."""
+    shared = parts.sparkSession.sparkContext.broadcast(prefixes)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        routing = Routing(shared.value)
+        boxes: dict = {}
+        held = 0
+        for b in batches:
+            for prefix, blob in zip(b["prefix"], b["subtrie"]):
+                for suffix, c in pickle.loads(blob).items():
+                    box = boxes.setdefault(routing.of(prefix + suffix), {})
+                    if (have := box.get(prefix + suffix)) is None:
+                        box[prefix + suffix] = c
+                        held += 1
+                    else:
+                        _merge(have, c)
+            if held > flush:
+                yield _boxes(boxes)
+                boxes, held = {}, 0
+        yield _boxes(boxes)
+
+    return parts.where("subtrie is not null").select("prefix", "subtrie").mapInPandas(route, "route string, subtrie binary, terms long")
+
+
+def _boxes(boxes: dict) -> pd.DataFrame:
+    return pd.DataFrame([(r, pickle.dumps(box), len(box)) for r, box in boxes.items()], columns=["route", "subtrie", "terms"])
 
 
-def _pieces(routed: DataFrame) -> DataFrame:
-    """(prefix, ends, piece, subtrie): containers of a prefix with more than PIECE terms in all cut by a hash of the suffix."""
-    sizes = routed.where("not ends").groupBy("prefix").agg(F.sum("terms").alias("n")).where(F.col("n") > PIECE)
-    cuts = {r.prefix: -(-r.n // PIECE) for r in sizes.collect()}  # at most (terms of all tasks / PIECE)
-    if not cuts:
-        return routed.select("prefix", "ends", F.lit(0).alias("piece"), "subtrie")
+def _pieces(routed: DataFrame, piece: int) -> DataFrame:
+    """(route, piece, subtrie): subtrees with more than `piece` entries in all cut by a hash of the term."""
+    sizes = routed.groupBy("route").agg(F.ceil(F.sum("terms") / piece).cast("int").alias("cuts")).where("cuts > 1")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for prefix, ends, blob in zip(b["prefix"], b["ends"], b["subtrie"]):
-                n = 1 if ends else cuts.get(prefix, 1)
+            for route, blob, n in zip(b["route"], b["subtrie"], b["cuts"]):
                 if n == 1:
-                    out.append((prefix, ends, 0, blob))
+                    out.append((route, 0, blob))
                     continue
                 boxes: dict = {}
-                for suffix, c in pickle.loads(blob).items():
-                    boxes.setdefault(zlib.crc32(suffix.encode("utf-8", "surrogatepass")) % n, {})[suffix] = c
-                out += [(prefix, ends, i, pickle.dumps(box)) for i, box in boxes.items()]
-            yield pd.DataFrame(out, columns=["prefix", "ends", "piece", "subtrie"])
+                for term, c in pickle.loads(blob).items():
+                    boxes.setdefault(zlib.crc32(term.encode("utf-8", "surrogatepass")) % n, {})[term] = c
+                out += [(route, i, pickle.dumps(box)) for i, box in boxes.items()]
+            yield pd.DataFrame(out, columns=["route", "piece", "subtrie"])
 
-    return routed.select("prefix", "ends", "subtrie").mapInPandas(cut, "prefix string, ends boolean, piece int, subtrie binary")
+    return routed.join(sizes, "route", "left").select("route", "subtrie", F.coalesce("cuts", F.lit(1)).alias("cuts")).mapInPandas(cut, "route string, piece int, subtrie binary")
 
 
-def term_counts(token_preference: DataFrame) -> DataFrame:
-    """(token, total, records, lowest, highest, mark): mark is rare (fewer than 3 records or a total below 5), common (in more than half of the records that have a term), or null; rare goes first."""
-    parts = settle(latest(token_preference).mapInPandas(_worker, "prefix string, ends boolean, subtrie binary, terms long, records long"))
-    routes = {r.prefix for r in parts.where("prefix is not null and subtrie is null").groupBy("prefix").agg(F.lit(1)).orderBy(F.length("prefix"), "prefix").limit(ROUTES).select("prefix").collect()}
-    records = parts.agg(F.sum("records")).first()[0] or 0
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    whole: dict = {}
+    for blob in pdf["subtrie"]:
+        for term, c in pickle.loads(blob).items():
+            if (have := whole.get(term)) is None:
+                whole[term] = c
+            else:
+                _merge(have, c)
+    return pd.DataFrame([(t, *c) for t, c in whole.items()], columns=["token", "total", "records", "lowest", "highest"]).astype({"lowest": "float64", "highest": "float64"})
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for prefix, ends, blob, terms in zip(b["prefix"], b["ends"], b["subtrie"], b["terms"]):
-                # a subtree that every worker cut alike goes on as it is; any other is burst at the routes
-                if all(prefix[:i] in routes for i in range(len(prefix) + ends)) and (ends or prefix not in routes):
-                    out.append((prefix, ends, blob, terms))
-                    continue
-                trie = BurstTrie(routes=routes)
-                for suffix, c in pickle.loads(blob).items():
-                    trie.add(prefix + suffix, c)
-                out += [(p, e, pickle.dumps(dict(box)), len(box)) for p, e, box in trie.parts() if box]
-            yield pd.DataFrame(out, columns=["prefix", "ends", "subtrie", "terms"])
 
-    routed = parts.where("subtrie is not null").select("prefix", "ends", "subtrie", "terms").mapInPandas(route, "prefix string, ends boolean, subtrie binary, terms long")
-    terms = _pieces(settle(routed)).groupBy("prefix", "ends", "piece").applyInPandas(_merged, "token string, total long, records long, lowest double, highest double")
+def subtries(token_preference: DataFrame, burst: int = BURST, flush: int = FLUSH) -> DataFrame:
+    """What the tasks ship: (prefix, ends, subtrie, terms, records), settled."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _worker(batches, burst, flush)
+
+    return settle(latest(token_preference).mapInPandas(work, PARTS))
+
+
+def merge_groups(parts: DataFrame, prefixes: set[str], flush: int = FLUSH, piece: int = PIECE) -> DataFrame:
+    """(route, piece, subtrie): what is merged together."""
+    return _pieces(settle(_routed(parts, prefixes, flush)), piece)
+
+
+def term_counts(token_preference: DataFrame, burst: int = BURST, routed: int = ROUTED, routes: int = ROUTES, flush: int = FLUSH, piece: int = PIECE) -> DataFrame:
+    """(token, total, records, lowest, highest, mark): mark is rare (fewer than 3 records or a total below 5), common (in more than half of the records that have a term), or null; rare goes first."""
+    parts = subtries(token_preference, burst, flush)
+    records = parts.agg(F.sum("records")).first()[0] or 0
+    groups = merge_groups(parts, routing_prefixes(parts, routed, routes), flush, piece)
+    terms = groups.groupBy("route", "piece").applyInPandas(_merged, "token string, total long, records long, lowest double, highest double")
     return terms.withColumn("mark", F.when((F.col("records") < 3) | (F.col("total") < 5), "rare").when(F.col("records") * 2 > records, "common"))
