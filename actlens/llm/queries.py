@@ -37,6 +37,7 @@ def queries() -> dict:
         "p8_mix": lambda s, d: mixing.mix(read(s, d, "documents"), read(s, d, "mix_targets"))[0],
         "p9_found": lambda s, d: language.found(read(s, d, "documents")),
         "p9_languages": _languages,
+        "p8_at_targets": lambda s, d: mixing.mix(read(s, d, "documents"), read(s, d, "mix_targets"), fill=False)[0],
         "p8_report": lambda s, d: mixing.report(read(s, d, "documents"), read(s, d, "mix_targets")),
     }
 
