@@ -36,12 +36,12 @@ def rings_closed(toks: Column) -> Column:
 
 
 def role(token: Column) -> Column:
-    """Branch, Ring, Bond, '.' or, by default, Atom."""
+    """Branch, Ring, Bond, Disconnection or, by default, Atom."""
     return (
         F.when(token.isNull(), F.lit(None))
         .when(token.rlike(BRANCH), "Branch")
         .when(token.rlike(RING), "Ring")
         .when(token.rlike(BOND), "Bond")
-        .when(token == ".", ".")
+        .when(token == ".", "Disconnection")
         .otherwise("Atom")
     )

@@ -100,13 +100,29 @@ def top_k_rows(acts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return acts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def pre_max(df: DataFrame, vec: str, w: dict) -> DataFrame:
+    """(feature, max_value): each latent's greatest pre-activation over all vectors, whatever its sign: a maximum per Arrow batch, then per latent. No rows without vectors."""
+    shared = df.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = None
+        for b in batches:
+            if len(b):
+                pre = pre_activations(shared.value, np.stack(b[vec].to_numpy()).astype(np.float64))
+                own = np.where(np.isnan(pre), -np.inf, pre).max(0)
+                top = own if top is None else np.maximum(top, own)
+        if top is not None:
+            yield pd.DataFrame({"feature": np.arange(len(top), dtype=np.int32), "max_value": top})
+
+    return df.where(F.col(vec).isNotNull()).select(vec).mapInPandas(run, "feature int, max_value double").groupBy("feature").agg(F.max("max_value").alias("max_value"))
+
+
 def normalized(w: dict, top: dict[int, float]) -> tuple[dict, list[int]]:
-    """Weights with each latent's activations scaled to a maximum of 1, and the latents that count as dead (maximum null or not positive: their encoder is cleared)."""
+    """Weights with each latent's activations divided by its maximum, and the latents that count as dead (maximum null or not positive). A maximum of 0, or none, clears the latent; a negative one divides as it is."""
     n = w["b_enc"].size
     m = np.array([top.get(i) or 0.0 for i in range(n)])
-    alive = m > 0
-    inv = np.where(alive, 1 / np.where(alive, m, 1), 0.0)
-    return {"w_enc": w["w_enc"] * inv, "b_enc": w["b_enc"] * inv, "w_dec": w["w_dec"] * np.where(alive, m, 0.0)[:, None], "b_pre": w["b_pre"]}, [int(i) for i in np.flatnonzero(~alive)]
+    inv = np.where(m != 0, 1 / np.where(m != 0, m, 1), 0.0)
+    return {"w_enc": w["w_enc"] * inv, "b_enc": w["b_enc"] * inv, "w_dec": w["w_dec"] * m[:, None], "b_pre": w["b_pre"]}, [int(i) for i in np.flatnonzero(m <= 0)]
 
 
 class Registry:

@@ -16,6 +16,7 @@ def queries() -> dict:
         "p1_reasons": lambda s, d: parse_errors.rejects(read(s, d, "raw_records")).groupBy("file_name", "reason").agg(F.count("*").alias("n")),
         "p3_found": lambda s, d: hot_keys.heavy_keys(read(s, d, "eval_data")).select("concept"),
         "p3_concept_stats": lambda s, d: hot_keys.concept_stats(read(s, d, "eval_data")),
+        "p3_concept_quantiles": lambda s, d: hot_keys.concept_quantiles(read(s, d, "eval_data")),
     }
 
 
@@ -78,4 +79,11 @@ def oracle_sql() -> dict[str, str]:
                     select distinct concept, sample_idx, token from (select concept, sample_idx, unnest(flatten(token_idxs)) as token from rows)
                     where token is not null and sample_idx is not null) group by concept)
             select s.concept, rows, matches, coalesce(positions, 0)::bigint as positions, width_p50, width_p95 from s left join p using (concept)""",
+        "p3_concept_quantiles": f"""with {_CONCEPT},
+            a as (select concept, quantile_disc(sample_idx, 0.25)::bigint as sample_p25, quantile_disc(sample_idx, 0.5)::bigint as sample_p50, quantile_disc(sample_idx, 0.75)::bigint as sample_p75
+                  from rows where sample_idx is not null group by concept),
+            t as (select concept, unnest(flatten(token_idxs)) as token from rows),
+            b as (select concept, quantile_disc(token, 0.25)::bigint as token_p25, quantile_disc(token, 0.5)::bigint as token_p50, quantile_disc(token, 0.75)::bigint as token_p75
+                  from t where token is not null group by concept)
+            select concept, sample_p25, sample_p50, sample_p75, token_p25, token_p50, token_p75 from a full join b using (concept)""",
     }

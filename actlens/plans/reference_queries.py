@@ -30,11 +30,11 @@ def _features(s: SparkSession) -> DataFrame:
 
 
 class _In:
-    """The canonical tables of a folder; unless whole, with the activations under MAX_VALUE only, as the SQL of the plain names has it."""
+    """The canonical tables of a folder."""
 
-    def __init__(self, s: SparkSession, d: str, whole: bool = False):
+    def __init__(self, s: SparkSession, d: str):
         self.s, self.d = s, d
-        self.samples, self.acts = T.samples(s, d), T.acts(s, d) if whole else T.acts(s, d, T.MAX_VALUE)
+        self.samples, self.acts = T.samples(s, d), T.acts(s, d)
         self.tokens, self.labels, self.concepts = T.tokens(self.samples), T.label_tokens(s, d), T.concepts(s, d)
 
 
@@ -58,8 +58,8 @@ def _exploded(df: DataFrame) -> DataFrame:
 
 
 def _normalized(s: SparkSession, d: str) -> DataFrame:
-    """(feature, dead, enc_sum, dec_sum) of the weights scaled by each latent's maximum over the table."""
-    top = {r.feature: r.max_value for r in L.latent_max(sae.encode(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)).collect()}  # one number per latent
+    """(feature, dead, enc_sum, dec_sum) of the weights scaled by each latent's greatest pre-activation over the table."""
+    top = {r.feature: r.max_value for r in sae.pre_max(_hidden(s, d), "vec", _weights()).collect()}  # one number per latent
     w, dead = sae.normalized(_weights(), top)
     rows = [(i, i in dead, float(w["w_enc"][:, i].sum()), float(w["w_dec"][i].sum())) for i in range(SAE_LATENTS)]
     return _round(s.createDataFrame(rows, "feature int, dead boolean, enc_sum double, dec_sum double"))
@@ -76,16 +76,16 @@ def _scores(kind: str):
 
 
 def _zscores(s: SparkSession, d: str) -> DataFrame:
-    rows = read(s, d, "token_preference").where("token_Global_Ratio is not null and run_id is not null and feature is not null")
-    lists = rows.groupBy("feature", "run_id", F.size("token_Global_Ratio").alias("len")).agg(F.min("token_Global_Ratio").alias("v"))
-    return _round(P.replicate_scores(lists.where("len > 1"), ["feature"], "run_id", "v"))
+    """Over the latest version of each (run_id, feature); of equally late ones the greater list."""
+    latest = read(s, d, "token_preference").groupBy("feature", "run_id").agg(F.max_by("token_Global_Ratio", F.struct("written_at", "token_Global_Ratio")).alias("v"))
+    return _round(P.replicate_scores(latest.where("run_id is not null and feature is not null and size(v) > 1"), ["feature"], "run_id", "v"))
 
 
-def _on(query, whole: bool = False):
-    return lambda s, d: query(_In(s, d, whole))
+def _on(query):
+    return lambda s, d: query(_In(s, d))
 
 
-def _fpc_rows(t: _In, k: int = 5) -> DataFrame:
+def _fpc_rows(t: _In, k: int = K) -> DataFrame:
     return settle(association.prefilter(t.acts, t.samples, t.labels, k))
 
 
@@ -95,7 +95,7 @@ def _cm(t: _In, sub: bool = False, k: int | None = None) -> DataFrame:
 
 
 def _on_acts() -> dict:
-    """Queries of the canonical tables; each is registered by its name and, over all finite positive activations, as name_whole."""
+    """Queries of the canonical tables."""
     return {
         "latent_density": lambda t: _round(L.density(t.acts, t.samples, _features(t.s))),
         "latent_pooling": lambda t: _round(L.fired(t.acts, t.samples), 3),
@@ -120,23 +120,19 @@ def _on_acts() -> dict:
         "concept_association": lambda t: association.associate(t.acts, t.samples, t.labels, t.concepts, THRESHOLDS, K),
         "best_latents": lambda t: association.best_latents(C.scores(_cm(t))),
         "topk_activation": lambda t: _round(sae.top_k_rows(t.acts, ["sample_idx", "token_idx"], 2)),
+        "act_distribution": lambda t: _round(L.distribution(t.acts, t.tokens, None, "^[cn]$", t.labels)),
+        "fpc_topk": _fpc_rows,
+        "cm_fpc": lambda t: _cm(t, k=K),
+        "cm_substructure_fpc": lambda t: _cm(t, True, K),
     }
 
 
 def queries() -> dict:
     return {
         **{name: _on(q) for name, q in _on_acts().items()},
-        **{f"{name}_whole": _on(q, True) for name, q in _on_acts().items()},
-        "act_distribution": _on(lambda t: _round(L.distribution(t.acts, t.tokens, 1207, "^[cn]$", t.labels))),
-        "act_distribution_whole": _on(lambda t: _round(L.distribution(t.acts, t.tokens, None, "^[cn]$", t.labels)), True),
+        **{f"{name}_whole": _on(q) for name, q in _on_acts().items()},  # earlier names of the same queries
         "concept_labels": _on(lambda t: t.labels),
         "sampled_labels": _on(lambda t: C.sampled(t.labels, 0.2)),
-        "fpc_topk": _on(_fpc_rows),
-        "cm_fpc": _on(lambda t: _cm(t, k=5)),
-        "cm_substructure_fpc": _on(lambda t: _cm(t, True, 5)),
-        "fpc_topk_whole": _on(lambda t: _fpc_rows(t, K), True),
-        "cm_fpc_whole": _on(lambda t: _cm(t, k=K), True),
-        "cm_substructure_fpc_whole": _on(lambda t: _cm(t, True, K), True),
         "layer_norm": lambda s, d: _exploded(_hidden(s, d).select("vec_id", sae.normed(F.col("vec")).alias("vec"))),
         "sae_encode": lambda s, d: _round(sae.encode(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
         "sae_decode": lambda s, d: _exploded(sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
@@ -167,7 +163,7 @@ samp as (select s, smi, chunk, (case when molptr between 1 and 32767 then molptr
 tok as (select s, (generate_subscripts(x, 1) - 1)::int as t, unnest(x) as token from (select s, regexp_extract_all(smi, '{_TOK}') as x from samp)),
 a as (
   select sample_idx as s, feature as f, token_idx as t, max(data::double) as v from activations
-  where data is not null and not isnan(data) and data > 0 and data < 1e12 and sample_idx is not null and token_idx is not null and feature is not null group by all),
+  where data > 0 and isfinite(data) and sample_idx is not null and token_idx is not null and feature is not null group by all),
 ft as (select a.s, a.f, a.t, a.v, tok.token from a join tok on a.s = tok.s and a.t = tok.t),
 dim as (select range::int as f from range({LATENTS})),
 el as (select smiles as s, lower(trim(concept, {_WS})) as name, unnest(token_idxs) as m from eval_data where smiles is not null),
@@ -177,7 +173,7 @@ lab as (select s, c, (row_number() over (partition by s, c order by m) - 1)::int
 sp as (select distinct s, c, t from lab),
 thr as (select unnest([0.0::double, 0.5::double, 1.5::double]) as thr)
 """
-_ROLE = r"case when token in ('(', ')') then 'Branch' when regexp_full_match(token, '%[0-9][0-9]|[0-9]') then 'Ring' when regexp_full_match(token, '[\-=#$\\/]') then 'Bond' when token = '.' then '.' else 'Atom' end"
+_ROLE = r"case when token in ('(', ')') then 'Branch' when regexp_full_match(token, '%[0-9][0-9]|[0-9]') then 'Ring' when regexp_full_match(token, '[\-=#$\\/]') then 'Bond' when token = '.' then 'Disconnection' else 'Atom' end"
 
 _SMD = """
 nn as (select s, n::bigint as n from samp),
@@ -286,8 +282,8 @@ def _oracle_sql() -> dict[str, str]:
                    round(tanh(avg(atanh(rho))), 6) as corr_mean from z group by f""",
         "dead_latents": f"with {_BASE} select f as feature from dim where f not in (select f from a)",
         "latent_max": f"with {_BASE} select f as feature, round(max(v), 6) as max_value from a group by f",
-        "act_distribution": f"""with {_BASE}, l as (select distinct s, t from lab) select ft.s as sample_idx, ft.t as token_idx, round(v, 6) as value, token,
-            case when l.s is not null then 'labelled' when regexp_full_match(token, '[cn]') then 'pattern' else 'other' end as "group" from ft left join l on l.s = ft.s and l.t = ft.t where f = 1207""",
+        "act_distribution": f"""with {_BASE}, l as (select distinct s, t from lab) select ft.f as feature, ft.s as sample_idx, ft.t as token_idx, round(v, 6) as value, token,
+            case when l.s is not null then 'labelled' when regexp_full_match(token, '[cn]') then 'pattern' else 'other' end as "group" from ft left join l on l.s = ft.s and l.t = ft.t""",
         "act_histogram": f"with {_BASE} select {_ROLE} as role, least(39, floor(v / 0.25::double))::int as bucket, count(*) as n from ft group by all",
         "concept_labels": f"with {_BASE} select s as sample_idx, c as concept_idx, i as match_idx, t as token_idx from lab",
         "smd_token": f"with {_BASE}, {_SMD} last as (select 1) select c as concept_idx, f as feature, round(smd, 6) as smd from smd",
@@ -308,11 +304,11 @@ def _oracle_sql() -> dict[str, str]:
             o as (select g, f, any_value(m) as m, any_value(mm) as mm, avg(ax) as am, avg(axx) as amm, count(*) filter (rx > ax) as hi, count(*) filter (ax > rx) as lo from dn join rs using (f) group by g, f),
             q as (select *, sqrt(greatest(0, (mm - m * m + amm - am * am) / 2)) as sd from o)
             select f as feature, g as grp, round(case when sd > 0 then (m - am) / sd when m > am then 'inf'::double when m < am then '-inf'::double else 'nan'::double end, 6) as smd, hi as ref_hi, lo as alt_hi from q""",
-        "fpc_topk": f"with {_BASE}, {_SMD} {_fpc(5)} select c as concept_idx, f as feature, key from fpc",
+        "fpc_topk": f"with {_BASE}, {_SMD} {_fpc(K)} select c as concept_idx, f as feature, key from fpc",
         "cm_all": f"with {_BASE}, {_ALL} {_CM_OUT}",
-        "cm_fpc": f"with {_BASE}, {_SMD} {_fpc(5)}, {_GIVEN} {_CM_OUT}",
+        "cm_fpc": f"with {_BASE}, {_SMD} {_fpc(K)}, {_GIVEN} {_CM_OUT}",
         "cm_substructure": f"with {_BASE}, {_SUB} {_ALL} {_CM_SUB_OUT}",
-        "cm_substructure_fpc": f"with {_BASE}, {_SUB} {_SMD} {_fpc(5)}, {_GIVEN} {_CM_SUB_OUT}",
+        "cm_substructure_fpc": f"with {_BASE}, {_SUB} {_SMD} {_fpc(K)}, {_GIVEN} {_CM_SUB_OUT}",
         "concept_f1": f"with {_BASE}, {_ALL}, {_F1} select * from met",
         "substructure_f1": f"with {_BASE}, {_SUB} {_ALL}, cs as (select cm.*, coalesce(tp_sub, 0)::bigint as tp_sub, n_sub from cm left join sub using (c, f, thr) left join ns using (c)), {_scored('tp_sub / n_sub::double', 'cs', 'tp_sub')} select * from met",
         "concept_association": f"""with {_BASE}, {_SMD} {_fpc(K)}, {_GIVEN}, {_F1} select met.*, k.concept, k.description from met join concepts k on k.concept_idx = met."conceptIdx\"""",
@@ -322,8 +318,8 @@ def _oracle_sql() -> dict[str, str]:
         "sae_decode": f"with {_SAE} {_DEC} select vec_id, d::int as dim, round(x, 6) as x from dec",
         "sae_reconstruction_mse": f"with {_SAE} {_DEC} select vec_id, round(avg((x - e) * (x - e)), 6) as mse from dec group by vec_id",
         "ablate_latent": f"with {_SAE} {_ABLATE} {_DEC.replace('act', 'ab2')} select vec_id, d::int as dim, round(x, 6) as x from dec",
-        "normalized_weights": f"""with {_SAE} mx as (select f, max(v) as m from act group by f), wf as (select f, sum(w) as s from w group by f)
-            select f as feature, coalesce(m, 0) <= 0 as dead, round(case when m > 0 then s / m else 0 end, 6) as enc_sum, round(case when m > 0 then s * m else 0 end, 6) as dec_sum from wf left join mx using (f)""",
+        "normalized_weights": f"""with {_SAE} mx as (select f, max(v) as m from pre group by f), wf as (select f, sum(w) as s from w group by f)
+            select f as feature, coalesce(m, 0) <= 0 as dead, round(case when m <> 0 then s / m else 0 end, 6) as enc_sum, round(coalesce(s * m, 0), 6) as dec_sum from wf left join mx using (f)""",
         "topk_activation": f"with {_BASE} select s as sample_idx, t as token_idx, f as feature, round(v, 6) as value from a qualify row_number() over (partition by s, t order by v desc, f) <= 2",
         "smiles_tokens": f"with {_BASE} select s as sample_idx, t as token_idx, token, {_ROLE} as role from tok",
         "atom_token_map": f"with {_BASE} select s as sample_idx, (row_number() over (partition by s order by t) - 1)::int as atom_idx, t as token_idx from tok where regexp_matches(token, '[a-zA-Z*]')",
@@ -336,7 +332,8 @@ def _oracle_sql() -> dict[str, str]:
             union all select s, 'ring', token, t, nx from r where n % 2 = 1 and nx is not null""",
         "pattern_labels": f"""with {_BASE}, p as (select unnest(['aromatic', 'charged', 'halogen']) as concept, unnest(['[a-z]', '\\[.*[+-].*\\]', 'F|I|Br|Cl']) as rx)
             select s as sample_idx, concept, t as token_idx from tok join p on regexp_full_match(token, rx)""",
-        "probe_zscore": """with r as (select feature, run_id, len("token_Global_Ratio") as n, min("token_Global_Ratio") as v from token_preference where "token_Global_Ratio" is not null and run_id is not null and feature is not null group by all),
+        "probe_zscore": """with y as (select feature, run_id, "token_Global_Ratio" as v, len("token_Global_Ratio") as n from token_preference where run_id is not null and feature is not null
+              qualify row_number() over (partition by feature, run_id order by written_at desc, "token_Global_Ratio" desc) = 1), r as (select * from y where v is not null),
             e as (select feature, run_id, n, generate_subscripts(v, 1) - 1 as idx, unnest(v) as v from r where n > 1),
             m as (select feature, run_id, avg(v) as mu, stddev_samp(v) as sd from e group by all),
             z as (select e.feature, idx, case when sd > 0 then (v - mu) / sd end as z from e join m using (feature, run_id)),
@@ -347,6 +344,4 @@ def _oracle_sql() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     given = _oracle_sql()
-    whole = {name: given[name] for name in _on_acts()} | {name: given[name].replace(_fpc(5), _fpc(K)) for name in ("fpc_topk", "cm_fpc", "cm_substructure_fpc")}
-    whole["act_distribution"] = given["act_distribution"].replace("select ft.s as", "select ft.f as feature, ft.s as").removesuffix(" where f = 1207")
-    return given | {f"{name}_whole": sql.replace("data < 1e12", "isfinite(data)") for name, sql in whole.items()}
+    return given | {f"{name}_whole": given[name] for name in _on_acts()}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from actlens.common import norm, read, strip
 from actlens.functions import smiles as S
 
-MAX_TOKENS, MAX_VALUE = 32_767, 1e12
+MAX_TOKENS = 32_767
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from actlens.operators import hot_keys as H
 
 SCHEMA = "smiles long, concept string, token_idxs array<array<int>>, extra int"
@@ -36,6 +38,16 @@ def test_concepts(spark):
     assert got["hot"] == (5, 5, 2, 1) and got["wide"] == (1, 2, 200, 201) and got["c3"] == (1, 0, 0, 0)
 
 
+def test_quantiles_of_given_tables_take_rounds(spark):
+    """The registered queries refine: more than one round for widths, samples and tokens."""
+    rows = H.concept_rows(spark.read.parquet("/root/testdata/sf0.001/eval_data.parquet"))
+    widths, samples = (rows.agg(F.min(c), F.max(c)).first() for c in ("width", "sample_idx"))
+    assert len(H.shifts(*widths)) >= 2 and len(H.shifts(*samples)) >= 2 and H.shifts(-70, 300, 4) == [5, 1, 0] and H.shifts(0, 3) == [0]
+    got = {r.concept: r for r in H.wide_quantiles(rows, "concept", "sample_idx", [0.5], "s").collect()}
+    for c, ids in rows.where("sample_idx is not null").groupBy("concept").agg(F.collect_list("sample_idx")).collect():
+        assert got[c].s_p50 == _rank(ids, 0.5)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert H.heavy_keys(df).count() == 0 and H.concept_stats(df).count() == 0
+    assert H.heavy_keys(df).count() == 0 and H.concept_stats(df).count() == 0 and H.concept_quantiles(df).count() == 0

@@ -38,7 +38,13 @@ def test_encode_decode_ablate(vectors):
 def test_normalized_and_registry(vectors):
     _, df = vectors
     w, dead = sae.normalized(sae.sine_weights(16, 4), {0: 2.0, 1: 0.0, 2: -1.0})
-    assert dead == [1, 2, 3] and not w["w_enc"][:, 1:].any()
+    plain = sae.sine_weights(16, 4)
+    assert dead == [1, 2, 3] and not w["w_enc"][:, [1, 3]].any()
+    assert np.allclose(w["w_enc"][:, 2], -plain["w_enc"][:, 2]) and np.allclose(w["w_dec"][0], 2 * plain["w_dec"][0])
+    x, w = vectors[0], sae.sine_weights(16, 24)
+    top = {r.feature: r.max_value for r in sae.pre_max(df.repartition(3), "vec", w).collect()}
+    assert np.allclose([top[i] for i in range(24)], sae.pre_activations(w, x).max(0))
+    assert sae.pre_max(df.limit(0), "vec", w).count() == 0
     reg = sae.Registry()
     with pytest.raises(KeyError):
         reg.get()

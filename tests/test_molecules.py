@@ -22,7 +22,7 @@ def test_tokens_roles_atoms(samples):
     got = {(r.sample_idx, r.token_idx): (r.token, r.role) for r in M.token_rows(samples).collect()}
     want = {(i, k): t for i, s in enumerate(STRINGS) for k, t in enumerate(_tokens(s))}
     assert {k: v[0] for k, v in got.items()} == want
-    role = lambda t: "Branch" if t in "()" else "Ring" if re.fullmatch("%..|[0-9]", t) else "Bond" if t in "-=#$\\/" else "." if t == "." else "Atom"
+    role = lambda t: "Branch" if t in "()" else "Ring" if re.fullmatch("%..|[0-9]", t) else "Bond" if t in "-=#$\\/" else "Disconnection" if t == "." else "Atom"
     assert all(v[1] == role(v[0]) for v in got.values())
     atoms = {(r.sample_idx, r.atom_idx): r.token_idx for r in M.atom_map(samples).collect()}
     assert atoms == {(i, n): k for i, s in enumerate(STRINGS) for n, k in enumerate(k for k, t in enumerate(_tokens(s)) if re.search(S.ATOM, t))}
