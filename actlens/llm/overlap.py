@@ -8,11 +8,14 @@ untouched, so its containment (the share of the evaluation record's n-grams foun
 an equi-join.
 
 The hashed n-grams of the evaluation side are broadcast only if their counted number is within BROADCAST_ROWS;
-otherwise both sides are partitioned by the hash. Equal texts of a task and side are one class, compared once.
+otherwise both sides are partitioned by the hash. Equal texts of a task and side are one class, named by a digest and
+compared once. Numbers of pairs are counted from the sizes of classes and keys, never from pairs. Where pairs must come
+out, a class or key that would give one task more than MEET pairs is cut: its training side into salted parts, with a
+copy of its evaluation side for each.
 
 Defined results: null task, split, canon_index or text equals nothing, nor does a text without any token; a null
 record_id can't be reported and is left out; characters that belong to no token are skipped; repeated record ids give
-one pair; extra columns are ignored; empty tables give no pairs.
+one pair, and count once unless their rows differ; extra columns are ignored; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -26,17 +29,21 @@ from actlens.functions import smiles as S
 EDITS = 3
 PIECES = EDITS + 1
 BROADCAST_ROWS = 600_000
+#: Pairs of one class or key from which it is cut into salted parts, and the most parts.
+MEET, PARTS = 4_000_000, 4096
+#: Words of an n-gram of the reported containment.
+GRAM = 5
 WORD = "\x1f"
 
 
-def _letters(toks: Column) -> Column:
-    """One character per token: itself, or a character chosen by hash, so that unequal tokens can only become equal, never the reverse."""
-    of = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(t), F.lit(20480))), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(toks, lambda t: F.when(F.length(t) == 1, t).otherwise(of(t))), "")
+def _letter(token: Column) -> Column:
+    """The token, if it is one character, or a character chosen by hash, so that unequal tokens can only become equal, never the reverse."""
+    code = F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(token), F.lit(20480))), 4, "0")), "UTF-16BE")
+    return F.when(F.length(token) == 1, token).otherwise(code)
 
 
 def records(dataset: DataFrame) -> DataFrame:
-    """(record_id, task, side, split, source, canon_index, text): side is train or eval; text is the tokens, joined."""
+    """(record_id, task, side, split, source, canon_index, text, id): side is train or eval; text is the tokens, joined; id names the class of task, side and text."""
     split = norm(F.col("split"))
     toks = S.tokens(strip(F.col("smiles")))
     return (
@@ -45,14 +52,15 @@ def records(dataset: DataFrame) -> DataFrame:
             norm(F.col("source")).alias("source"), "canon_index", F.when(F.size(toks) > 0, F.array_join(toks, WORD)).alias("text"),
         )
         .where("record_id is not null and task is not null and side is not null")
+        .withColumn("id", F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.concat_ws("\x1e", "side", "text", "task")))))
     )
 
 
 def _grams(classes: DataFrame) -> DataFrame:
-    """(h, piece, id) of each evaluation class: its four n-grams, hashed with task, length and place."""
+    """(h, eval_id) of each evaluation class: its four n-grams, hashed with task, length and place."""
     piece = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
     return classes.select("id", "task", "letters", "len", piece.alias("piece")).select(
-        _hash(F.col("len"), F.col("piece"), F.expr(f"substring(letters, {_start('len')} + 1, {_width('len')})")).alias("h"), "piece", F.col("id").alias("eval_id")
+        _hash(F.col("len"), F.col("piece"), F.expr(f"substring(letters, {_start('len')} + 1, {_width('len')})")).alias("h"), F.col("id").alias("eval_id")
     )
 
 
@@ -69,7 +77,7 @@ def _hash(n: Column, piece: Column, gram: Column) -> Column:
 
 
 def _scan(classes: DataFrame) -> DataFrame:
-    """(h, piece, id) of each training class for every evaluation length, n-gram and shift that three edits allow."""
+    """(h, train_id) of each training class for every evaluation length, n-gram and shift that three edits allow."""
     places = [
         (d, i, off)
         for d in range(-EDITS, EDITS + 1)  # training length less evaluation length
@@ -84,7 +92,7 @@ def _scan(classes: DataFrame) -> DataFrame:
         .withColumn("at", F.expr(f"{_start('m')} + o"))
         .withColumn("wide", F.expr(_width("m")))
         .where("at >= 0 and at + wide <= len")
-        .select(_hash(F.col("m"), F.col("piece"), F.expr("substring(letters, at + 1, wide)")).alias("h"), "piece", F.col("id").alias("train_id"))
+        .select(_hash(F.col("m"), F.col("piece"), F.expr("substring(letters, at + 1, wide)")).alias("h"), F.col("id").alias("train_id"))
     )
 
 
@@ -96,58 +104,98 @@ def _exact_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(spell(a), spell(b), EDITS)
 
 
+def _distance() -> Column:
+    """The token edit distance of a pair: that of the letters, unless two tokens of the pair share a letter."""
+    apart = F.size(F.array_union("train_multi", "eval_multi")) == F.size(F.array_union(F.transform("train_multi", _letter), F.transform("eval_multi", _letter)))
+    return F.when(apart, F.levenshtein("train_letters", "eval_letters", EDITS)).otherwise(_exact_distance(F.split("train_text", WORD), F.split("eval_text", WORD)))
+
+
+def _ngrams(text: Column) -> Column:
+    words = F.split(text, WORD)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - GRAM + 1)), lambda i: F.array_join(F.slice(words, i, F.lit(GRAM)), WORD)))
+
+
 def near_classes(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes (task, side, text, id, size, letters, len), and the pairs of them within EDITS edits: (train_id, eval_id, containment, distance)."""
+    """The classes (id, task, side, text, first, letters, len, multi), and the pairs of them within EDITS edits: (task, train_id, eval_id, train_first, eval_first, containment, distance). containment: the share of the evaluation text's GRAM-word n-grams (the whole text, if shorter) that stand in the training text."""
+    toks = F.split("text", WORD)
     classes = settle(
         recs.where("text is not null")
-        .groupBy("task", "side", "text").agg(F.min("record_id").alias("id"), F.count("*").alias("size"))
-        .withColumn("letters", _letters(F.split("text", WORD)))
+        .groupBy("id").agg(F.first("task").alias("task"), F.first("side").alias("side"), F.first("text").alias("text"), F.min("record_id").alias("first"))
+        .withColumn("letters", F.array_join(F.transform(toks, _letter), ""))
         .withColumn("len", F.length("letters"))
+        .withColumn("multi", F.array_distinct(F.filter(toks, lambda t: F.length(t) > 1)))
     )
     train, evals = classes.where("side = 'train'"), classes.where("side = 'eval'")
     grams = _grams(evals)
     n = PIECES * evals.count()
-    hits = _scan(train).join(broadcast_if(grams, n, BROADCAST_ROWS), ["h", "piece"])
-    found = hits.groupBy("train_id", "eval_id").agg((F.count_distinct("piece") / PIECES).alias("containment"))
-    text = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("task").alias(f"{side}_task"), F.col("text").alias(f"{side}_text"), F.col("letters").alias(f"{side}_letters"))
+    found = _scan(train).join(broadcast_if(grams, n, BROADCAST_ROWS), "h").select("train_id", "eval_id").distinct()
+    own = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "task", "text", "first", "letters", "multi")))
+    share = F.size(F.array_intersect(_ngrams(F.col("eval_text")), _ngrams(F.col("train_text")))) / F.size(_ngrams(F.col("eval_text")))
     near = (
-        found.join(text(train, "train"), "train_id").join(text(evals, "eval"), "eval_id")
+        found.join(own(train, "train"), "train_id").join(own(evals, "eval"), "eval_id")
         .where(F.col("train_task") == F.col("eval_task"))
         .where(F.levenshtein("train_letters", "eval_letters", EDITS) >= 0)
-        .withColumn("distance", _exact_distance(F.split("train_text", WORD), F.split("eval_text", WORD)))
+        .withColumn("distance", _distance())
         .where("distance >= 0")
-        .select("train_id", "eval_id", "containment", "distance")
+        .select(F.col("train_task").alias("task"), "train_id", "eval_id", "train_first", "eval_first", share.alias("containment"), "distance")
     )
     return classes, near
 
 
-def overlaps(dataset: DataFrame) -> DataFrame:
-    """(train_record, eval_record): every pair of a training and an evaluation record of one task with the same canon_index or texts within EDITS tokens."""
+def _meet(train: DataFrame, evals: DataFrame, keys: list[str], meet: int) -> DataFrame:
+    """The equi-join of both on keys, where keys that give more than `meet` pairs are cut into salted parts. train and evals hold train_record and eval_record."""
+    size = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
+    pairs = F.col("n") * F.col("m")
+    hot = size(train, "n").join(size(evals, "m"), keys).where(pairs > meet).select(*keys, F.least(F.lit(PARTS), F.ceil(pairs / meet)).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    cut = train.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("train_record"), parts).cast("int")).drop("parts")
+    copied = evals.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return cut.join(copied, [*keys, "salt"])
+
+
+def _linked(dataset: DataFrame, meet: int) -> DataFrame:
+    """(train_record, eval_record), by text and by key; some pairs twice."""
     recs = settle(records(dataset))
-    classes, near = near_classes(recs)
-    member = recs.join(classes.select("task", "side", "text", "id"), ["task", "side", "text"]).select("id", "record_id")
-    by_text = (
-        near.join(member.select(F.col("id").alias("train_id"), F.col("record_id").alias("train_record")), "train_id")
-        .join(member.select(F.col("id").alias("eval_id"), F.col("record_id").alias("eval_record")), "eval_id")
-        .select("train_record", "eval_record")
-    )
-    keyed = recs.where("canon_index is not null").select("task", "canon_index", "side", "record_id")
-    by_key = (
-        keyed.where("side = 'train'").select("task", "canon_index", F.col("record_id").alias("train_record"))
-        .join(keyed.where("side = 'eval'").select("task", "canon_index", F.col("record_id").alias("eval_record")), ["task", "canon_index"])
-        .select("train_record", "eval_record")
-    )
-    return by_text.union(by_key).distinct()
+    near = settle(near_classes(recs)[1].select("train_id", "eval_id"))  # read twice
+    side = lambda s: recs.where(F.col("side") == s)
+    member = lambda s: side(s).where("id is not null").select(F.col("id").alias(f"{s}_id"), F.col("record_id").alias(f"{s}_record"))
+    by_text = _meet(near.join(member("train"), "train_id"), member("eval"), ["eval_id"], meet)
+    keyed = lambda s: side(s).where("canon_index is not null").select("task", "canon_index", F.col("record_id").alias(f"{s}_record"))
+    by_key = _meet(keyed("train"), keyed("eval"), ["task", "canon_index"], meet)
+    return by_text.select("train_record", "eval_record").union(by_key.select("train_record", "eval_record"))
 
 
-def pairs(dataset: DataFrame) -> DataFrame:
+def overlaps(dataset: DataFrame, meet: int = MEET) -> DataFrame:
+    """(train_record, eval_record): every pair of a training and an evaluation record of one task with the same canon_index or texts within EDITS tokens."""
+    return _linked(dataset, meet).distinct()
+
+
+def pairs(dataset: DataFrame, meet: int = MEET) -> DataFrame:
     """(record_a, record_b), smaller id first."""
-    o = overlaps(dataset)
-    return o.select(F.least("train_record", "eval_record").alias("record_a"), F.greatest("train_record", "eval_record").alias("record_b")).distinct()
+    return _linked(dataset, meet).select(F.least("train_record", "eval_record").alias("record_a"), F.greatest("train_record", "eval_record").alias("record_b")).distinct()
+
+
+def containment(dataset: DataFrame) -> DataFrame:
+    """(task, train_record, eval_record, containment, distance) of each near pair of classes of equal texts, each named by its least record_id."""
+    near = near_classes(settle(records(dataset)))[1]
+    return near.select("task", F.col("train_first").alias("train_record"), F.col("eval_first").alias("eval_record"), "containment", "distance")
 
 
 def report(dataset: DataFrame) -> DataFrame:
-    """(split, source, pairs, records): overlaps per evaluation split and source; a null source is a group."""
-    recs = records(dataset).where("side = 'eval'").select(F.col("record_id").alias("eval_record"), "split", "source")
-    per = overlaps(dataset).groupBy("eval_record").agg(F.count("*").alias("n"))
-    return recs.join(per, "eval_record").groupBy("split", "source").agg(F.sum("n").alias("pairs"), F.count("*").alias("records"))
+    """(split, source, pairs, records): overlaps per evaluation split and source; a null source is a group.
+
+    Counted on cells of records with one class and key: those of the training side near a cell's class, plus those with
+    its key, less those that are both.
+    """
+    recs = settle(records(dataset).distinct())
+    near = near_classes(recs)[1].select("train_id", "eval_id")
+    train = recs.where("side = 'train'").groupBy("task", "canon_index", "id").agg(F.count("*").alias("n"))
+    cells = recs.where("side = 'eval'").groupBy("split", "source", "task", "canon_index", "id").agg(F.count("*").alias("records"))
+    cells = cells.withColumnRenamed("id", "eval_id")
+    own = near.join(train.withColumnRenamed("id", "train_id"), "train_id").groupBy("eval_id", F.col("canon_index").alias("key")).agg(F.sum("n").alias("n"))
+    by_text = own.groupBy("eval_id").agg(F.sum("n").alias("by_text"))
+    both = own.where("key is not null").select("eval_id", F.col("key").alias("canon_index"), F.col("n").alias("both"))
+    by_key = train.where("canon_index is not null").groupBy("task", "canon_index").agg(F.sum("n").alias("by_key"))
+    per = cells.join(by_text, "eval_id", "left").join(both, ["eval_id", "canon_index"], "left").join(by_key, ["task", "canon_index"], "left").fillna(0, ["by_text", "both", "by_key"])
+    per = per.withColumn("each", F.col("by_text") + F.col("by_key") - F.col("both")).where("each > 0")
+    return per.groupBy("split", "source").agg(F.sum(F.col("each") * F.col("records")).alias("pairs"), F.sum("records").alias("records"))

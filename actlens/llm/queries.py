@@ -27,6 +27,7 @@ def queries() -> dict:
     return {
         "p2_found": lambda s, d: overlap.pairs(read(s, d, "dataset")),
         "p2_by_source": lambda s, d: overlap.report(read(s, d, "dataset")),
+        "p2_containment": lambda s, d: overlap.containment(read(s, d, "dataset")).withColumn("containment", F.round("containment", 6)),
         "p4_found": lambda s, d: term_counts.term_counts(read(s, d, "token_preference")).where("mark is not null").select("token", "mark"),
         "p4_terms": lambda s, d: term_counts.term_counts(read(s, d, "token_preference")),
         "p5_found": lambda s, d: top_n.top_n(read(s, d, "metrics"), "conceptIdx", "featureIdx", "f1Score", 10).select("conceptIdx", "featureIdx"),
@@ -84,6 +85,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"with {_OVERLAP} select distinct least(tr, ev) as record_a, greatest(tr, ev) as record_b from pairs",
         "p2_by_source": f"with {_OVERLAP} select split, source, count(*) as pairs, count(distinct ev) as records from (select distinct * from pairs) group by split, source",
+        "p2_containment": f"""with {_OVERLAP},
+            k as (select task, split = 'train' as tr, s, t, min(record_id) as id from x where split in ('train', 'test', 'valid') and task is not null and s is not null group by all),
+            g as (select id, tr, list_distinct([array_to_string(t[i:i + 4], ' ') for i in range(1, greatest(1, len(t) - 4) + 1)]) as g from k)
+            select a.task, a.id as train_record, b.id as eval_record, round(len(list_intersect(h.g, f.g)) / len(h.g), 6) as containment, levenshtein(a.s, b.s)::int as distance
+            from k a join k b on a.task = b.task and a.tr and not b.tr and abs(length(a.s) - length(b.s)) <= 3 and levenshtein(a.s, b.s) <= 3
+            join g f on f.id = a.id and f.tr join g h on h.id = b.id and not h.tr""",
         "p4_found": f"with {_TERMS} select token, mark from marked where mark is not null",
         "p4_terms": f"with {_TERMS} select token, total, records, lowest, highest, mark from marked",
         "p5_found": """with b as (select "conceptIdx", "featureIdx", max("f1Score") as s from metrics where "f1Score" > 0 and "f1Score" <= 1 and not isnan("f1Score") and "conceptIdx" is not null and "featureIdx" is not null group by all)

@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from actlens.functions.smiles import TOKEN
 from actlens.llm import overlap as O
 
@@ -29,10 +31,20 @@ def _brute(rows):
     return out
 
 
-def _check(spark, rows):
-    got = [tuple(r) for r in O.pairs(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)).collect()]
+def _check(spark, rows, meet=O.MEET):
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    got = [tuple(r) for r in O.pairs(df, meet).collect()]
+    want = _brute(rows)
     assert len(got) == len(set(got))
-    assert set(got) == _brute(rows)
+    assert set(got) == want
+    if len({r[0] for r in rows}) == len(rows):  # no record stands twice: the report counts what the pairs are
+        by_id = {r[0]: r for r in rows}
+        pairs: dict = {}
+        for a, b in want:
+            e = by_id[a] if (by_id[a][4] or "").strip().lower() != "train" else by_id[b]
+            own = pairs.setdefault((e[4].strip().lower(), e[5]), {})
+            own[e[0]] = own.get(e[0], 0) + 1
+        assert {(r.split, r.source): (r.pairs, r.records) for r in O.report(df).collect()} == {k: (sum(v.values()), len(v)) for k, v in pairs.items()}
 
 
 def test_random_edits(spark):
@@ -50,7 +62,7 @@ def test_random_edits(spark):
     old = O.BROADCAST_ROWS
     for limit in (old, 0):
         O.BROADCAST_ROWS = limit
-        _check(spark, rows)
+        _check(spark, rows, 1 if limit == 0 else O.MEET)  # then also with every key cut into parts
     O.BROADCAST_ROWS = old
 
 
@@ -68,3 +80,19 @@ def test_repeats_and_empty(spark):
     rows = [(i, "CCNCCO", 1, "t", "train" if i % 2 else "test", "s") for i in range(20)]
     _check(spark, rows + rows[:5])
     _check(spark, [])
+
+
+def test_containment(spark):
+    rows = [(1, "CCNCCOCC", None, "t", "train", "s"), (2, "CCNCCOCCC", None, "t", "test", "s"), (3, "NN", None, "t", "train", "s"), (4, "NNO", None, "t", "valid", "s"), (5, "CCNCCOCC", None, "t", "train", "s")]
+    got = {(r.train_record, r.eval_record): (r.containment, r.distance) for r in O.containment(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)).collect()}
+    assert got == {(1, 2): (4 / 5, 1), (3, 4): (0.0, 1)}
+
+
+def test_letters_that_collide(spark):
+    """Two tokens with one letter in common are still two tokens."""
+    words = [f"[{i}C]" for i in range(400)]
+    codes: dict = {}
+    for r in spark.createDataFrame([(w,) for w in words], "t string").select("t", O._letter(F.col("t")).alias("c")).collect():
+        codes.setdefault(r.c, []).append(r.t)
+    a, b = next((v[:2] for v in codes.values() if len(v) > 1), words[:2])
+    _check(spark, [(1, (a + "C") * 6, None, "t", "train", "s"), (2, (b + "C") * 6, None, "t", "test", "s"), (3, (b + "C") * 2 + (a + "C") * 4, None, "t", "test", "s")])
