@@ -26,6 +26,16 @@ def norm(col: Column) -> Column:
     return F.lower(strip(col))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, not wherever body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fraction(*parts: Column | str) -> Column:
+    """A number in [0, 1) chosen by a digest of the parts: the same for any partitioning, and in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -9,13 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.common import fraction as unit
+
 EPS = 1e-7
 
 
-def sampled(labels: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """The labels of a fraction of the samples, chosen by a hash of sample and seed: the same ones for any partitioning."""
-    low = F.pmod(F.xxhash64("sample_idx", F.lit(seed)), F.lit(1_000_000))
-    return labels.where(low < int(fraction * 1_000_000))
+def sampled(labels: DataFrame, fraction: float, seed: int = 42, bits: int = 16) -> DataFrame:
+    """The labels of exactly floor(fraction * n) of the n samples, those with the smallest digests of sample and seed (ties by sample): the same ones for any partitioning.
+
+    No sort of all samples: they are counted in 2^bits ranges of the digest, and only those of the range that the last one falls into are ranked.
+    """
+    keys = labels.select("sample_idx").distinct().withColumn("_u", unit(F.col("sample_idx"), F.lit(seed))).withColumn("_k", F.floor(F.col("_u") * 2**bits))
+    run = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)  # over at most 2^bits counters
+    ranges = keys.groupBy("_k").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(run)).withColumn("_want", F.floor(F.lit(float(fraction)) * F.sum("_c").over(Window.partitionBy())))
+    ranges = ranges.where(F.col("_upto") - F.col("_c") < F.col("_want"))
+    placed = keys.join(ranges, "_k").withColumn("_r", F.when(F.col("_upto") <= F.col("_want"), 0).otherwise(F.col("_upto") - F.col("_c") - F.col("_want")))
+    last = F.row_number().over(Window.partitionBy("_k").orderBy("_u", "sample_idx"))
+    kept = placed.where("_r = 0").select("sample_idx").unionByName(placed.where("_r < 0").withColumn("_n", last).where("_n <= -_r").select("sample_idx"))
+    return labels.join(kept, "sample_idx", "left_semi")
+
+
+def counts(labels: DataFrame) -> DataFrame:
+    """(samples, concepts, matches): how many samples have a label, how many concepts occur, and how many matches there are."""
+    matches = labels.select("sample_idx", "concept_idx", "match_idx").distinct()
+    return matches.groupBy("sample_idx", "concept_idx").agg(F.count("*").alias("m")).agg(
+        F.count_distinct("sample_idx").alias("samples"), F.count_distinct("concept_idx").alias("concepts"), F.coalesce(F.sum("m"), F.lit(0)).alias("matches")
+    )
+
+
+def packed(labels: DataFrame) -> DataFrame:
+    """(sample_idx, concepts): a row per sample, its concepts in order, each with its matches as sorted lists of tokens. A list has as many entries as a sample has labels, which its tokens bound."""
+    matches = labels.groupBy("sample_idx", "concept_idx", "match_idx").agg(F.array_sort(F.collect_set("token_idx")).alias("m"))
+    each = matches.groupBy("sample_idx", "concept_idx").agg(F.array_sort(F.collect_list(F.struct("match_idx", "m"))).alias("l"))
+    concepts = F.array_sort(F.collect_list(F.struct("concept_idx", F.col("l.m").alias("matches"))))
+    return each.groupBy("sample_idx").agg(concepts.alias("concepts"))
 
 
 def top_features(scores: DataFrame, k: int, least: float = 0.0) -> DataFrame:

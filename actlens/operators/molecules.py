@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.common import fraction, let
 from actlens.functions import smiles as S
 
 
@@ -39,13 +40,19 @@ def mask_enum(samples: DataFrame, mask: str = "[MASK]", exclude: str | None = No
     return rows.select("sample_idx", "token_idx", "token", masked.alias("masked"))
 
 
+def _depth(rows: DataFrame) -> DataFrame:
+    """Adds depth, the number of branches open after the token; a closing token without an open branch changes nothing."""
+    step = F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)
+    upto = _in_order().rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_run", F.sum(step).over(upto))
+    return run.withColumn("depth", F.col("_run") - F.least(F.lit(0), F.min("_run").over(upto))).drop("_run")
+
+
 def _depths(rows: DataFrame) -> DataFrame:
-    """Branch tokens with the depth they open or close and their ordinal at that depth."""
-    step = F.when(F.col("token") == "(", 1).otherwise(-1)
-    run = F.sum(step).over(_in_order().rowsBetween(Window.unboundedPreceding, 0))
-    b = rows.where(F.col("token").isin("(", ")")).withColumn("depth", F.when(F.col("token") == "(", run).otherwise(run + 1))
-    at = Window.partitionBy("sample_idx", "depth").orderBy("token_idx")
-    return b.where("depth > 0").withColumn("close", F.lead(F.struct("token", "token_idx")).over(at))
+    """Branch tokens with the depth they open or close and what follows at that depth."""
+    before = F.lag("depth", 1, 0).over(_in_order())
+    b = _depth(rows).withColumn("depth", F.when(F.col("token") == "(", F.col("depth")).otherwise(before)).where(F.col("token").isin("(", ")") & (F.col("depth") > 0))
+    return b.withColumn("close", F.lead(F.struct("token", "token_idx")).over(Window.partitionBy("sample_idx", "depth").orderBy("token_idx")))
 
 
 def syntax_pairs(samples: DataFrame) -> DataFrame:
@@ -59,24 +66,21 @@ def syntax_pairs(samples: DataFrame) -> DataFrame:
 
 
 def branches(samples: DataFrame) -> DataFrame:
-    """(sample_idx, depth, open_idx, close_idx, n_tokens, n_atoms): each closed branch with the tokens and atoms of its own, without those of branches inside it; the main chain is depth 0 without ends."""
-    rows = token_rows(samples)
-    step = F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)
-    run = rows.withColumn("run", F.sum(step).over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    opens = Window.partitionBy("sample_idx", "run").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, 0)
-    # a token inside a branch of its depth belongs to the last one opened at that depth
-    own = run.where(~F.col("token").isin("(", ")")).select("sample_idx", "token_idx", "run", F.col("token").rlike(S.ATOM).cast("int").alias("atom"), F.lit(None).cast("int").alias("open_idx"))
-    heads = run.where("token = '('").select("sample_idx", "token_idx", "run", F.lit(0).alias("atom"), F.col("token_idx").alias("open_idx"))
-    placed = own.unionByName(heads).withColumn("branch", F.last("open_idx", ignorenulls=True).over(opens))
-    counts = placed.where("open_idx is null").groupBy("sample_idx", "run", "branch").agg(F.count("*").alias("n_tokens"), F.sum("atom").alias("n_atoms"))
-    pairs = _depths(rows).where("token = '(' and close.token = ')'").select("sample_idx", "depth", F.col("token_idx").alias("open_idx"), F.col("close.token_idx").alias("close_idx"))
-    inner = pairs.join(counts.select("sample_idx", F.col("branch").alias("open_idx"), "n_tokens", "n_atoms").where("open_idx is not null"), ["sample_idx", "open_idx"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    main = counts.where("run = 0").groupBy("sample_idx").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_atoms").alias("n_atoms"))
-    none = F.lit(None).cast("int")
-    return inner.select("sample_idx", F.col("depth").cast("int"), "open_idx", "close_idx", zero("n_tokens"), zero("n_atoms")).unionByName(
-        main.select("sample_idx", F.lit(0).alias("depth"), none.alias("open_idx"), none.alias("close_idx"), zero("n_tokens"), zero("n_atoms"))
-    )
+    """(sample_idx, depth, open_idx, close_idx, tokens, atoms): each closed branch with the places of its own tokens and atoms, without those of branches inside it; the main chain is depth 0, from the first token to the last. Tokens of a branch that is never closed are in no row."""
+    rows = _depth(token_rows(samples))
+    at = Window.partitionBy("sample_idx", "depth").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, 0)
+    # a token belongs to the last branch opened at its depth
+    placed = rows.withColumn("open_idx", F.last(F.when(F.col("token") == "(", F.col("token_idx")), ignorenulls=True).over(at))
+    placed = placed.withColumn("open_idx", F.when(F.col("depth") > 0, F.col("open_idx"))).where(~F.col("token").isin("(", ")"))
+    ids = lambda ok: F.array_sort(F.collect_list(F.when(ok, F.col("token_idx"))))
+    own = placed.groupBy("sample_idx", "depth", "open_idx").agg(ids(F.lit(True)).alias("tokens"), ids(F.col("token").rlike(S.ATOM)).alias("atoms"))
+    pairs = _depths(token_rows(samples)).where("token = '(' and close.token = ')'").select("sample_idx", "depth", F.col("token_idx").alias("open_idx"), F.col("close.token_idx").alias("close_idx"))
+    inner = pairs.join(own.where("open_idx is not null").select("sample_idx", "open_idx", "tokens", "atoms"), ["sample_idx", "open_idx"], "left")
+    main = rows.groupBy("sample_idx").agg(F.max("token_idx").alias("close_idx")).select("sample_idx", F.lit(0).alias("depth"), F.lit(0).alias("open_idx"), "close_idx")
+    main = main.join(own.where("open_idx is null").select("sample_idx", "tokens", "atoms"), "sample_idx", "left")
+    some = lambda c: F.coalesce(c, F.array().cast("array<int>")).alias(c)
+    cols = ["sample_idx", F.col("depth").cast("int").alias("depth"), "open_idx", "close_idx", some("tokens"), some("atoms")]
+    return main.select(*cols).unionByName(inner.select(*cols))
 
 
 def bond_atoms(samples: DataFrame) -> DataFrame:
@@ -101,42 +105,136 @@ def pattern_labels(samples: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return rows.select("sample_idx", names.alias("concept"), "token_idx").where("concept is not null")
 
 
-# The edits that break a string, by kind.
-EDITS = ["ring_remove", "ring_double", "ring_insert", "paren_add", "paren_remove", "paren_swap", "paren_open", "paren_close", "arom_lower", "arom_insert", "arom_delete", "syntax_head", "syntax_tail", "syntax_bond", "syntax_truncate", "syntax_empty"]
+# Kinds of errors, what may be put in for an aromatic atom, and bond and branch tokens.
+ERRORS = ["rings", "parentheses", "aromaticity", "syntax", "valence"]
+FOR_AROMATIC = [["[nH]"], ["n", "(", "C", ")"], ["o"], ["s"], ["c", "(", "=", "O", ")"], ["c", "(", "=", "N", ")"], ["C"], ["N"], ["c", "c"], ["c", "n"], ["n", "c"], ["n", "n"]]
+BONDS, MARKS = ["-", "=", "#"], ["-", "=", "#", "(", ")"]
 
 
-def corrupt(samples: DataFrame, kinds: list[str] | str = "all", rounds: int = 1, seed: int = 0) -> DataFrame:
-    """(sample_idx, error, error_smiles): each string broken by one edit of each kind per round, at a place chosen by a hash of string, seed, kind and round: the same for any partitioning. Kinds that can't apply to a string give no row."""
-    kinds = EDITS if kinds == "all" else kinds
-    if not isinstance(kinds, list):
-        raise TypeError("kinds: a list, or 'all'")
-    if bad := set(kinds) - set(EDITS):
-        raise ValueError(f"no such kinds: {sorted(bad)}")
-    base = samples.select("sample_idx", "smiles", S.tokens(F.col("smiles")).alias("t")).where(F.size("t") > 0)
-    base = base.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("error")).select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    h = F.xxhash64("smiles", F.lit(seed), "error", "round")
-    fits = {
-        "ring": lambda x: x.rlike(S.RING), "paren_remove": lambda x: x.rlike(S.BRANCH), "paren_swap": lambda x: x == "(", "paren_open": lambda x: x == "(",
-        "paren_close": lambda x: x == ")", "arom_lower": lambda x: x.isin("C", "N", "O", "S"), "arom_delete": lambda x: x.isin("c", "n"), "syntax_bond": lambda x: x.rlike(S.BOND), "syntax_empty": lambda x: x.rlike(S.ATOM),
-    }
-    places = F.transform("t", lambda x, i: i)
-    for name, ok in fits.items():
-        own = F.filter(F.transform("t", lambda x, i: F.when(ok(x), i)), lambda i: i.isNotNull())  # noqa: B023
-        chosen = F.col("error").isin("ring_remove", "ring_double") if name == "ring" else F.col("error") == name
-        places = F.when(chosen, own).otherwise(places)
-    rows = base.withColumn("places", places).where(F.size("places") > 0).withColumn("i", F.get("places", F.pmod(h, F.size("places")).cast("int")))
-    i, x = F.col("i"), F.get("t", F.col("i"))
-    by = {
-        "ring_remove": "", "ring_double": F.concat(x, x), "ring_insert": F.concat(x, F.lit("9")), "paren_add": F.concat(x, F.lit("(")), "paren_remove": "", "paren_swap": ")",
-        "paren_open": ")", "paren_close": "(", "arom_lower": F.lower(x), "arom_insert": F.concat(x, F.lit("c")), "arom_delete": "", "syntax_bond": F.concat(x, x), "syntax_empty": F.concat(x, F.lit("()")),
-    }
-    new = x
-    for name, v in by.items():
-        new = F.when(F.col("error") == name, F.lit(v) if isinstance(v, str) else v).otherwise(new)
-    edited = F.concat(F.array_join(F.slice("t", F.lit(1), i), ""), new, F.array_join(F.slice("t", i + 2, F.size("t")), ""))
-    keep = F.greatest(F.lit(1), F.ceil(F.size("t") / 4) + F.pmod(h, F.ceil(F.size("t") * 3 / 4 + 1))).cast("int")
-    out = (
-        F.when(F.col("error") == "syntax_head", F.concat(F.lit("="), "smiles")).when(F.col("error") == "syntax_tail", F.concat("smiles", F.lit("=")))
-        .when(F.col("error") == "syntax_truncate", F.array_join(F.slice("t", F.lit(1), keep), "")).otherwise(edited)
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _pick(values: Column, u: Column) -> Column:
+    """The value at a place chosen by u in [0, 1); null if there is none."""
+    return let(values, lambda v: F.get(v, F.floor(u * F.size(v)).cast("int")))
+
+
+def _places(t: Column, ok) -> Column:
+    return F.filter(F.transform(t, lambda x, i: F.when(ok(x), i)), lambda i: i.isNotNull())
+
+
+def _splice(t: Column, at: Column, n: Column | int, new: Column) -> Column:
+    """The tokens with n of them, from `at` on, replaced; null where `at` is."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return let(at, lambda i: F.concat(F.slice(t, F.lit(1), i), new, F.slice(t, i + n + 1, F.size(t))))
+
+
+def _ring(t: Column, s: Column, u: list[Column]) -> Column:
+    name = lambda n: F.when(n < 10, n.cast("string")).otherwise(F.concat(F.lit("%"), n.cast("string")))
+    more = lambda rings: F.concat(rings, F.array(name(F.size(rings) + 1)))
+    number = lambda ring: F.regexp_replace(ring, "%", "").cast("int")
+    near = lambda ring: F.when(number(ring) == 1, F.lit("2")).otherwise(name(number(ring) + F.when(u[3] < 0.5, -1).otherwise(1)))
+    without = lambda all_, k: F.concat(F.slice(all_, F.lit(1), k - 1), F.slice(all_, k + 1, F.size(all_)))
+    other = lambda rings, ring: _pick(let(more(rings), lambda m: without(m, F.array_position(m, ring).cast("int"))), u[3])
+    back = lambda rings, ring: F.when(u[2] < 0.25, F.array(near(ring))).when(u[2] < 0.5, F.array(other(rings, ring))).otherwise(F.array().cast("array<string>"))
+    odd = lambda at: F.filter(at, lambda x, i: i % 2 == 0)
+
+    def of(rings: Column, ring: Column) -> Column:
+        at = _places(t, lambda x: x == ring)
+        return F.when(s < 0.6, _splice(t, _pick(at, u[1]), 1, back(rings, ring))).otherwise(_splice(t, _pick(let(at, odd), u[1]), 0, F.array(ring)))
+
+    def some(rings: Column) -> Column:
+        anywhere = _splice(t, F.floor(u[0] * F.size(t)).cast("int"), 1, F.array(_pick(more(rings), u[1])))
+        return F.when((s < 0.8) & (F.size(rings) > 0), let(_pick(rings, u[0]), lambda ring: of(rings, ring))).otherwise(anywhere)
+
+    return let(F.array_sort(F.array_distinct(F.filter(t, lambda x: x.rlike(S.RING)))), some)
+
+
+def _parentheses(t: Column, s: Column, u: list[Column]) -> Column:
+    opens, closes = _places(t, lambda x: x == "("), _places(t, lambda x: x == ")")
+    swap = lambda o, c: F.when(o.isNotNull() & c.isNotNull(), F.transform(t, lambda x, i: F.when(i == o, ")").when(i == c, "(").otherwise(x)))
+    swapped = let(_pick(opens, u[0]), lambda o: let(_pick(closes, u[1]), lambda c: swap(o, c)))
+    return (
+        F.when(s < 0.2, _splice(t, F.floor(u[0] * F.size(t)).cast("int") + 1, 0, F.array(_pick(_texts(["(", ")"]), u[1]))))
+        .when(s < 0.4, _splice(t, _pick(_places(t, lambda x: x.isin("(", ")")), u[0]), 1, F.array().cast("array<string>")))
+        .when(s < 0.6, swapped)
+        .when(s < 0.8, _splice(t, _pick(opens, u[0]), 1, _texts([")"])))
+        .otherwise(_splice(t, _pick(closes, u[0]), 1, _texts(["("])))
+    )
+
+
+def _aromaticity(t: Column, s: Column, u: list[Column]) -> Column:
+    plain, one, two = _places(t, lambda x: x.isin("C", "N", "O", "S", "P", "B")), _places(t, lambda x: x.isin("c", "n")), _places(t, lambda x: x.isin("[nH]", "o", "s"))
+    lower = _places(t, lambda x: x.rlike("[a-z]") & ~x.rlike("[A-Z]"))
+    c_or_n = F.array(_pick(_texts(["c", "n"]), u[1]))
+    return (
+        F.when(s < 0.2, let(_pick(plain, u[0]), lambda i: _splice(t, i, 1, F.array(F.lower(F.get(t, i))))))
+        .when(s < 0.4, _splice(t, _pick(one, u[0]), 1, _pick(F.array(*map(_texts, FOR_AROMATIC)), u[1])))
+        .when(s < 0.6, _splice(t, _pick(lower, u[0]) + F.floor(u[2] * 2).cast("int"), 0, c_or_n))
+        .when(s < 0.8, _splice(t, _pick(two, u[0]), 1, c_or_n))
+        .otherwise(_splice(t, _pick(one, u[0]), 1, F.array().cast("array<string>")))
+    )
+
+
+def _closed(t: Column) -> Column:
+    """The closed branches as (open, close), in order of closing."""
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<o:int,c:int>>").alias("pairs"), F.lit(0).alias("i"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.struct(F.element_at(a["open"], -1).alias("o"), a["i"].alias("c"))
+        closes = (x == ")") & (F.size(a["open"]) > 0)
+        opened = F.when(x == "(", F.concat(a["open"], F.array(a["i"]))).when(closes, F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)).otherwise(a["open"])
+        return F.struct(opened.alias("open"), F.when(closes, F.concat(a["pairs"], F.array(last))).otherwise(a["pairs"]).alias("pairs"), (a["i"] + 1).alias("i"))
+
+    return F.aggregate(t, start, step)["pairs"]
+
+
+def _syntax(t: Column, s: Column, u: list[Column]) -> Column:
+    bond, mark = F.array(_pick(_texts(BONDS), u[1])), F.array(_pick(_texts(MARKS), u[1]))
+    nothing = F.array().cast("array<string>")
+    seen = lambda i: F.size(F.filter(F.slice(t, F.lit(1), i), lambda y: y == F.get(t, i)))
+    ring_opens = F.filter(_places(t, lambda x: x.rlike(S.RING)), lambda i: seen(i) % 2 == 0)
+    last = lambda first: F.element_at(F.concat(F.array(F.lit(-1)), F.filter(_places(t, lambda x: x.isin("(", ")")), lambda i: i < first)), -1)
+    after = lambda near: F.when((near >= 0) & (F.get(t, near) == "(") & (u[0] >= 0.5), near + 1).otherwise(0)
+    long = lambda first, k: F.when((F.size(t) - first + k) / F.size(t) >= 0.25, _splice(t, k, first - k, nothing))
+    cut = let(F.array_position(t, F.lit("1")).cast("int") - 1, lambda first: F.when(first >= 0, let(let(last(first), after), lambda k: long(first, k))))
+    rest = lambda pair: _splice(t, pair["o"] + 1, pair["c"] - pair["o"] - 1, nothing)
+    filler = lambda pair: F.when(u[1] < 0.5, F.array(_pick(F.concat(_texts(BONDS), F.filter(rest(pair), lambda x: x.rlike(S.RING))), u[2]))).otherwise(nothing)
+    return (
+        F.when(s < 0.1, F.concat(mark, t)).when(s < 0.2, F.concat(t, mark))
+        .when(s < 0.3, _splice(t, _pick(_places(t, lambda x: x.isin(*BONDS)), u[0]) + F.floor(u[2] * 2).cast("int"), 0, bond))
+        .when(s < 0.4, _splice(t, _pick(ring_opens, u[0]), 0, bond))
+        .when(s < 0.6, _splice(t, _pick(_places(t, lambda x: x == "("), u[0]), 0, F.when(s < 0.5, bond).otherwise(_texts(["("]))))
+        .when(s < 0.8, cut)
+        .otherwise(let(_pick(_closed(t), u[0]), lambda pair: _splice(t, pair["o"] + 1, pair["c"] - pair["o"] - 1, filler(pair))))
     )
-    return rows.select("sample_idx", "error", "round", out.alias("error_smiles")).where("error_smiles <> ''")
+
+
+def _valence(t: Column, s: Column, u: list[Column]) -> Column:
+    """A native stand-in without a toolkit: the bond after a plain aliphatic atom is raised, where an atom or a double bond follows."""
+    follows = F.filter(_places(t, lambda x: x.isin("C", "N", "O", "S", "P")), lambda i: F.get(t, i + 1).rlike(r"\A(?:=|[BCNOSPFI]|Br|Cl)\z"))
+    raised = lambda i: F.when(F.get(t, i) == "=", _splice(t, i, 1, _texts(["#"]))).otherwise(_splice(t, i, 0, F.array(_pick(_texts(["=", "#"]), u[1]))))
+    return let(_pick(follows, u[0]) + 1, raised)
+
+
+def corrupt(samples: DataFrame, n: int = 1, error: list[str] | str = "all", seed: int = 0) -> DataFrame:
+    """(sample_idx, error, error_smiles): each string broken by n edits of each kind of error, one on the other, each chosen by digests of string, seed, kind and round: the same for any partitioning. An edit for which a string has no place leaves it as it is; characters that belong to no token are lost; strings without a token give no rows."""
+    kinds = ERRORS if error == "all" else [error] if isinstance(error, str) else error
+    if not isinstance(kinds, list):
+        raise TypeError("error: a list or a kind, or 'all'")
+    if bad := [k for k in kinds if k not in ERRORS]:
+        raise ValueError(f"no such kinds: {bad}; there are {['all', *ERRORS]}")
+    if not kinds:
+        raise ValueError("no kind of error given")
+    rows = samples.select("sample_idx", "smiles", S.tokens(F.col("smiles")).alias("t")).where(F.size("t") > 0).select("*", F.explode(_texts(kinds)).alias("error"))
+    edit = {"rings": _ring, "parentheses": _parentheses, "aromaticity": _aromaticity, "syntax": _syntax, "valence": _valence}
+    for i in range(n):
+        draws = [F.get("_u", F.lit(j)) for j in range(1, 5)]
+        # generators of one row, behind which a value is not worked out again wherever it is used
+        rows = rows.select("*", F.explode(F.array(F.array(*(fraction("smiles", F.lit(seed), "error", F.lit(i), F.lit(j)) for j in range(5))))).alias("_u"))
+        new = F.lit(None)
+        for kind in kinds:
+            new = F.when(F.col("error") == kind, edit[kind](F.col("t"), F.get("_u", F.lit(0)), draws)).otherwise(new)
+        rows = rows.select("sample_idx", "smiles", "error", F.explode(F.array(F.coalesce(new, "t"))).alias("t"))
+    return rows.select("sample_idx", "error", F.array_join("t", "").alias("error_smiles"))

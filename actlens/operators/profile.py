@@ -23,6 +23,11 @@ def fired(acts: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
+def pooled_vectors(hidden: DataFrame, sample: str, vec: str) -> DataFrame:
+    """(sample, dim, mean, max) of dense vectors over the tokens of a sample, NaN values as NaN; null vectors are no tokens."""
+    return hidden.select(sample, F.posexplode(vec).alias("dim", "_x")).groupBy(sample, "dim").agg(F.avg("_x").alias("mean"), F.max("_x").alias("max"))
+
+
 def density(acts: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
     """Per latent of `features`, over the samples it fires in: n and the distribution of its share of active tokens; nulls if it never fires."""
     d = fired(acts, samples).withColumn("d", F.col("n_active") / F.col("n_tokens"))

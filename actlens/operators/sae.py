@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from actlens.common import let
+
 
 def sine_weights(dim: int, latents: int) -> dict[str, np.ndarray]:
     """A deterministic stand-in for trained weights, so that other engines can recompute it."""
@@ -81,17 +83,12 @@ def reconstruct(df: DataFrame, keys: list[str], vec: str, w: dict, k: int, ablat
     return _batches(df, keys, vec, "vec array<double>, mse double", work)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value worked out once, not once per element of a lambda inside body."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def normed(vec: Column) -> Column:
     """The layer norm as column expressions, for one vector of doubles."""
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     scale = lambda y: F.sqrt(total(F.transform(y, lambda x: x * x)) / (F.size(y) - 1)) + 1e-5
-    centred = _let(total(vec) / F.size(vec), lambda mu: F.transform(vec, lambda x: x - mu))
-    return _let(centred, lambda y: _let(scale(y), lambda s: F.transform(y, lambda x: x / s)))
+    centred = let(total(vec) / F.size(vec), lambda mu: F.transform(vec, lambda x: x - mu))
+    return let(centred, lambda y: let(scale(y), lambda s: F.transform(y, lambda x: x / s)))
 
 
 def top_k_rows(acts: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -125,6 +122,73 @@ def normalized(w: dict, top: dict[int, float]) -> tuple[dict, list[int]]:
     return {"w_enc": w["w_enc"] * inv, "b_enc": w["b_enc"] * inv, "w_dec": w["w_dec"] * m[:, None], "b_pre": w["b_pre"]}, [int(i) for i in np.flatnonzero(m <= 0)]
 
 
+SHAPES = {"w_enc": 2, "w_dec": 2, "b_enc": 1, "b_pre": 1}
+
+
+def load_state(state: dict[str, np.ndarray], prefix: str = "") -> tuple[dict[str, np.ndarray], list[str]]:
+    """Weights from a checkpoint's arrays by name, without the prefix that a trainer puts before names; and warnings, for missing and unexpected names, which are no errors."""
+    named = {k.removeprefix(prefix): np.asarray(v, np.float64) for k, v in state.items()}
+    missing, extra = sorted(set(SHAPES) - set(named)), sorted(set(named) - set(SHAPES))
+    return {k: v for k, v in named.items() if k in SHAPES}, [f"missing: {k}" for k in missing] + [f"unexpected: {k}" for k in extra]
+
+
+def weights_table(spark: SparkSession, w: dict[str, np.ndarray]) -> DataFrame:
+    """(name, i, j, w): weights as rows, j null for vectors; for Parquet and SQL."""
+    rows = [(k, int(x[0]), int(x[1]) if len(x) > 1 else None, float(v)) for k, a in w.items() for x, v in np.ndenumerate(a)]
+    return spark.createDataFrame(rows, "name string, i int, j int, w double")
+
+
+def weights_from(table: DataFrame) -> dict[str, np.ndarray]:
+    """Weights from their rows: one model's, which must fit the driver as it must each worker."""
+    pdf = table.toPandas()
+    out = {}
+    for name, own in pdf.groupby("name"):
+        if SHAPES[name] == 2:
+            out[name] = np.zeros((int(own["i"].max()) + 1, int(own["j"].max()) + 1))
+            out[name][own["i"].astype(int), own["j"].astype(int)] = own["w"]
+        else:
+            out[name] = own.sort_values("i")["w"].to_numpy()
+    return out
+
+
+def mean_square(a: Column, b: Column) -> Column:
+    """The mean squared difference of two vectors of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def aux_loss(x: Column, recons: Column, aux: Column, coefficient: float = 1 / 32) -> Column:
+    """The loss of an auxiliary reconstruction of what the first one leaves; 0 where that is not a number or there is none."""
+    loss = coefficient * mean_square(aux, F.zip_with(x, recons, lambda a, b: a - b))
+    return F.coalesce(F.nanvl(loss, F.lit(0.0)), F.lit(0.0))
+
+
+def cross_entropy(logits: Column, token: Column) -> Column:
+    """-log softmax(logits)[token]; null for a null token or one outside the logits."""
+    top = F.array_max(logits)
+    return let(top, lambda m: F.ln(F.aggregate(logits, F.lit(0.0), lambda s, z: s + F.exp(z - m))) + m) - F.get(logits, token)
+
+
+def validation(rows: DataFrame, sample: str, batch: int) -> DataFrame:
+    """(n_samples, n_batches, mse, diff_ce) from token rows (sample, x, recons, logits, recons_logits, token): means over a sample's tokens, over `batch` samples in order of their ids, then over batches, so that a short last batch weighs as much as any."""
+    own = rows.groupBy(sample).agg(
+        F.avg(mean_square(F.col("x"), F.col("recons"))).alias("mse"),
+        (F.avg(cross_entropy(F.col("recons_logits"), F.col("token"))) - F.avg(cross_entropy(F.col("logits"), F.col("token")))).alias("diff_ce"),
+    )
+    batches = numbered(own, sample).groupBy(F.floor(F.col("_n") / batch).alias("b")).agg(F.count("*").alias("n"), F.avg("mse").alias("mse"), F.avg("diff_ce").alias("diff_ce"))
+    return batches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"), F.count("*").alias("n_batches"), F.avg("mse").alias("mse"), F.avg("diff_ce").alias("diff_ce"))
+
+
+def numbered(df: DataFrame, by: str, ranges: int = 1024) -> DataFrame:
+    """Adds _n, the row's place from 0 in order of an integer column: rows are counted in equal ranges of its values, and numbered inside their range."""
+    df = df.where(F.col(by).isNotNull())
+    ends = df.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
+    placed = df.crossJoin(F.broadcast(ends)).withColumn("_k", F.floor((F.col(by) - F.col("_lo")) * F.lit(float(ranges)) / (F.col("_hi") - F.col("_lo") + 1)))  # ends is one row
+    before = F.sum("_c").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    offset = placed.groupBy("_k").agg(F.count("*").alias("_c")).select("_k", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_k").orderBy(by)) - 1
+    return placed.withColumn("_i", inside).join(offset, "_k").withColumn("_n", F.col("_i") + F.col("_o")).drop("_lo", "_hi", "_k", "_i", "_o")
+
+
 class Registry:
     """Autoencoders by key layer-latents-k; the key may be left out if there is exactly one."""
 

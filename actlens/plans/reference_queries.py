@@ -12,7 +12,7 @@ from actlens.operators import molecules as M
 from actlens.operators import probe as P
 from actlens.operators import profile as L
 from actlens.operators import sae
-from actlens.plans import association
+from actlens.plans import association, structure_sql
 from actlens.sources import tables as T
 
 LATENTS, K, THRESHOLDS, BINS = 3072, 64, [0.0, 0.5, 1.5], [(0.0, 0.5), (0.5, 1.0), (1.0, 2.0), (2.0, 4.0), (4.0, 1e300)]
@@ -65,16 +65,80 @@ def _normalized(s: SparkSession, d: str) -> DataFrame:
     return _round(s.createDataFrame(rows, "feature int, dead boolean, enc_sum double, dec_sum double"))
 
 
+def _probe_rows(s: SparkSession, d: str) -> DataFrame:
+    return P.probe_rows(read(s, d, "dataset"), read(s, d, "probe_features"))
+
+
 def _scores(kind: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = P.probe_rows(read(s, d, "dataset"), read(s, d, "probe_features")).where(F.col("task_type") == kind)
+        rows = _probe_rows(s, d).where(F.col("task_type") == kind)
         fit = P.logistic if kind == "cls" else P.ridge
-        scored = P.predict(rows.where("split = 'test'"), fit(rows.where("split <> 'test'")))
+        scored = P.predict(rows.where("split = 'test'"), fit(rows.where("split <> 'test'"), ["task"]), ["task"])
         return _round(P.classification_metrics(scored) if kind == "cls" else P.regression_metrics(scored), 4)
 
     return run
 
 
+def _fixed(kind: str):
+    """The metrics of a given linear form: the weight of feature j is sin(j) for j from 1, the intercept 0.5."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        w = F.array(F.lit(0.5), *(F.sin(F.lit(float(j))) for j in range(1, 13)))
+        rows = _probe_rows(s, d).where(F.col("task_type") == kind)
+        fitted = rows.select("task").distinct().withColumn("w", w)
+        scored = P.predict(rows, fitted, ["task"]).withColumn("score", F.round("score", 6))  # rounded, so that ties are ties in any engine
+        return _round(P.classification_metrics(scored) if kind == "cls" else P.regression_metrics(scored), 5)
+
+    return run
+
+
+FOLDED = 16
+
+
+def _feature_sets(s: SparkSession, d: str) -> DataFrame:
+    """(canon_index, path, x): the chemistry features of parsable molecules, and mean and maximum over tokens of the activations, latents folded to 16."""
+    t = _In(s, d)
+    pcds = read(s, d, "probe_features").where("isSmilesRDKitParsable = 1 and canon_index is not null").select("canon_index", F.lit("PcDs").alias("path"), F.transform("pcds", lambda v: v.cast("double")).alias("x"))
+    fired = L.fired(t.acts.where("value < 1e6"), t.samples).withColumn("slot", F.pmod("feature", F.lit(FOLDED)))  # failed measurements would be the only feature that counts
+    slots = fired.groupBy("sample_idx", "slot").agg(F.sum("mean_value").alias("mean"), F.max("max_value").alias("max"))
+    out = pcds
+    for pooling in ("mean", "max"):
+        cell = lambda i: F.coalesce(F.sum(F.when(F.col("slot") == i, F.col(pooling))), F.lit(0.0))  # noqa: B023, E731
+        x = slots.groupBy(F.col("sample_idx").alias("canon_index")).agg(F.array(*(cell(i) for i in range(FOLDED))).alias("x"))
+        out = out.unionByName(x.select("canon_index", F.lit(f"SAE/{pooling}/1").alias("path"), "x"))
+    return out
+
+
+def _sweep_rows(s: SparkSession, d: str) -> DataFrame:
+    return P.sweep_rows(P.labelled(read(s, d, "dataset"), strict=True), _feature_sets(s, d))
+
+
+def _coefficients(s: SparkSession, d: str) -> DataFrame:
+    fits = P.sweep(_sweep_rows(s, d))[1].withColumn("coef", F.slice("w", 2, F.size("w")))
+    return _round(P.replicate_scores(fits, ["task", "method", "layer"], "rep", "coef"), 3)
+
+
+def _token_rows(s: SparkSession, d: str) -> DataFrame:
+    """Vectors as tokens of samples of four, decoded vectors as their reconstruction, and both as logits of the label."""
+    recons = sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K).select("vec_id", F.col("vec").alias("recons"))
+    rows = _hidden(s, d).where("vec is not null").withColumnRenamed("vec", "x").join(recons, "vec_id")
+    return rows.select("vec_id", F.floor(F.col("vec_id") / 4).alias("sample"), "x", "recons", F.col("x").alias("logits"), F.col("recons").alias("recons_logits"), F.col("label").alias("token"))
+
+
+def _losses(s: SparkSession, d: str) -> DataFrame:
+    rows, x = _token_rows(s, d), F.col("x")
+    ce = lambda c: sae.cross_entropy(F.col(c), F.col("token"))
+    tenth = F.transform(x, lambda v: v / 10)
+    return _round(rows.select("vec_id", sae.mean_square(x, F.col("recons")).alias("mse"), sae.aux_loss(x, F.col("recons"), tenth).alias("aux"), ce("logits").alias("ce"), ce("recons_logits").alias("recons_ce")))
+
+
+def _packed(t: _In) -> DataFrame:
+    """The lists as text: concept:match|match;..., a match as its tokens with hyphens."""
+    match = lambda m: F.array_join(m, "-")
+    concept = lambda c: F.concat(c["concept_idx"].cast("string"), F.lit(":"), F.array_join(F.transform(c["matches"], match), "|"))
+    return C.packed(t.labels).select("sample_idx", F.array_join(F.transform("concepts", concept), ";").alias("concepts"))
+
+
 def _zscores(s: SparkSession, d: str) -> DataFrame:
     """Over the latest version of each (run_id, feature); of equally late ones the greater list."""
     latest = read(s, d, "token_preference").groupBy("feature", "run_id").agg(F.max_by("token_Global_Ratio", F.struct("written_at", "token_Global_Ratio")).alias("v"))
@@ -133,6 +197,12 @@ def queries() -> dict:
         **{f"{name}_whole": _on(q) for name, q in _on_acts().items()},  # earlier names of the same queries
         "concept_labels": _on(lambda t: t.labels),
         "sampled_labels": _on(lambda t: C.sampled(t.labels, 0.2)),
+        "labelled_counts": _on(lambda t: C.counts(t.labels)),
+        "packed_labels": _on(_packed),
+        "dense_pooling": lambda s, d: _round(L.pooled_vectors(_hidden(s, d).where("label is not null"), "label", "vec")),
+        "pre_activation_max": lambda s, d: _round(sae.pre_max(_hidden(s, d), "vec", _weights())),
+        "sae_losses": _losses,
+        "validation_means": lambda s, d: _round(sae.validation(_token_rows(s, d), "sample", 32)),
         "layer_norm": lambda s, d: _exploded(_hidden(s, d).select("vec_id", sae.normed(F.col("vec")).alias("vec"))),
         "sae_encode": lambda s, d: _round(sae.encode(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
         "sae_decode": lambda s, d: _exploded(sae.reconstruct(_hidden(s, d), ["vec_id"], "vec", _weights(), SAE_K)),
@@ -143,14 +213,19 @@ def queries() -> dict:
         "atom_token_map": _on(lambda t: M.atom_map(t.samples)),
         "mask_enum": _on(lambda t: M.mask_enum(t.samples)),
         "syntax_pairs": _on(lambda t: M.syntax_pairs(t.samples)),
-        "branch_list": _on(lambda t: M.branches(t.samples)),
+        "branch_list": _on(lambda t: M.branches(t.samples).withColumns({c: F.array_join(c, ",") for c in ("tokens", "atoms")})),
         "bond_atom_pairs": _on(lambda t: M.bond_atoms(t.samples)),
         "pattern_labels": _on(lambda t: M.pattern_labels(t.samples, {"aromatic": r"^[a-z]$", "charged": r"^\[.*[+-].*\]$", "halogen": r"^(?:F|I|Br|Cl)$"})),
         "corrupt_smiles": _on(lambda t: M.corrupt(t.samples)),
         "probe_zscore": _zscores,
         "probe_logistic": _scores("cls"),
         "probe_ridge": _scores("reg"),
-        "split_dataset": lambda s, d: P.split_rows(read(s, d, "dataset").select("record_id"), "record_id", 0.8).groupBy("part").agg(F.count("*").alias("n")),
+        "probe_fixed_cls": _fixed("cls"),
+        "probe_fixed_reg": _fixed("reg"),
+        "probe_sweep_cells": lambda s, d: _sweep_rows(s, d).groupBy("task", "method", "layer", "rep", "part").agg(F.count("*").alias("n"), F.sum("fold").alias("folds")),
+        "probe_sweep": lambda s, d: _round(P.sweep(_sweep_rows(s, d))[0], 3),
+        "probe_coefficients": _coefficients,
+        "split_dataset": lambda s, d: P.split_rows(read(s, d, "dataset").select("record_id"), "record_id", 0.8),
     }
 
 
@@ -252,6 +327,26 @@ ab2 as (select vec_id, f, v from (select * from ab qualify row_number() over (pa
 """
 
 
+_LOSSES = f"""{_SAE} {_DEC},
+di as (select vec_id, avg((x - e) * (x - e)) as mse, avg(pow(e / 10 - (e - x), 2)) / 32 as aux, max(e) as me, max(x) as mx from dec group by vec_id),
+so as (select vec_id, ln(sum(exp(e - me))) + any_value(me) as ze, ln(sum(exp(x - mx))) + any_value(mx) as zx from dec join di using (vec_id) group by vec_id),
+lo as (select di.vec_id, mse, aux, ze - d.e as ce, zx - d.x as recons_ce from di join so using (vec_id) join embeddings m on m.vec_id = di.vec_id left join dec d on d.vec_id = di.vec_id and d.d = m.label)
+"""
+_FINITE = "list_bool_and(list_transform(pcds, lambda v: v is not null and not isnan(v)))"
+_LABELLED = f"""l as (select canon_index, lower(trim(task, {_WS})) as task, trim(task_type) as task_type, y from dataset where isfinite(y) and task is not null and split is not null)"""
+_PROBE = f"""{_LABELLED},
+x as (select canon_index, list_transform(pcds, lambda v: v::double) as x from probe_features where "isSmilesRDKitParsable" = 1 and canon_index is not null and {_FINITE}),
+f as (select task, task_type, y, round(0.5 + {" + ".join(f"x[{j}] * sin({j}.0::double)" for j in range(1, 13))}, 6) as score from l join x using (canon_index))"""
+
+
+def _unit(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint / 4294967296.0::double)"
+
+
+def _mean_rank(of: str) -> str:
+    return f"(rank() over (partition by task order by {of}) + (count(*) over (partition by task, {of}) - 1) / 2.0)"
+
+
 def _oracle_sql() -> dict[str, str]:
     fired = "select s, f, count(*) as k, n, max(v) as mx, sum(v) / n as me, sum(v * v) / n as ms from a join samp using (s) where n > 0 group by s, f, n"
     pref = "select f, token, count(*) as n from ft group by all"
@@ -320,6 +415,34 @@ def _oracle_sql() -> dict[str, str]:
         "ablate_latent": f"with {_SAE} {_ABLATE} {_DEC.replace('act', 'ab2')} select vec_id, d::int as dim, round(x, 6) as x from dec",
         "normalized_weights": f"""with {_SAE} mx as (select f, max(v) as m from pre group by f), wf as (select f, sum(w) as s from w group by f)
             select f as feature, coalesce(m, 0) <= 0 as dead, round(case when m <> 0 then s / m else 0 end, 6) as enc_sum, round(coalesce(s * m, 0), 6) as dec_sum from wf left join mx using (f)""",
+        "sampled_labels": f"""with {_BASE}, u as (select s, {_unit("s", "42")} as u from (select distinct s from lab)),
+            k as (select s from u qualify row_number() over (order by u, s) <= floor(0.2::double * count(*) over ()))
+            select s as sample_idx, c as concept_idx, i as match_idx, t as token_idx from lab where s in (select s from k)""",
+        "labelled_counts": f"with {_BASE} select count(distinct s) as samples, count(distinct c) as concepts, count(distinct (s, c, i)) as matches from lab",
+        "packed_labels": f"""with {_BASE}, m as (select s, c, i, string_agg(t::varchar, '-' order by t) as m from lab group by all), g as (select s, c, c || ':' || string_agg(m, '|' order by i) as g from m group by s, c)
+            select s as sample_idx, string_agg(g, ';' order by c) as concepts from g group by s""",
+        "dense_pooling": """with r as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double as x from embeddings where label is not null)
+            select label, dim::int as dim, round(avg(x), 6) as mean, round(max(x), 6) as "max" from r group by all""",
+        "pre_activation_max": f"with {_SAE} last as (select 1) select f as feature, round(max(v), 6) as max_value from pre group by f",
+        "sae_losses": f"""with {_LOSSES} select vec_id, round(mse, 6) as mse, round(aux, 6) as aux, round(ce, 6) as ce, round(recons_ce, 6) as recons_ce from lo""",
+        "validation_means": f"""with {_LOSSES}, sa as (select floor(vec_id / 4) as s, avg(mse) as mse, avg(recons_ce) - avg(ce) as dce from lo group by 1), nu as (select *, row_number() over (order by s) - 1 as n from sa),
+            ba as (select count(*) as n, avg(mse) as mse, avg(dce) as dce from nu group by n // 32)
+            select sum(n)::bigint as n_samples, count(*) as n_batches, round(avg(mse), 6) as mse, round(avg(dce), 6) as diff_ce from ba""",
+        "branch_list": f"with {_BASE}, {structure_sql.BRANCHES}",
+        "bond_atom_pairs": f"with {_BASE}, {structure_sql.BONDS_SQL}",
+        "corrupt_smiles": f"with {_BASE}, {structure_sql.CORRUPT}",
+        "split_dataset": f"with u as (select record_id, {_unit('record_id', '0')} as u from dataset) select record_id, case when u < 0.8 then 'train' when u < 0.8::double + (1 - 0.8::double) / 2 then 'valid' else 'test' end as part from u",
+        "probe_fixed_cls": f"""with {_PROBE}, r as (select *, {_mean_rank("score")} as r, (score > 0)::int as p from f where task_type = 'cls'),
+            m as (select task, count(*) as n, sum(p * y) as tp, sum(p)::double as pp, sum(y) as pos, avg((p = y)::int) as acc, sum(r * y) as ry from r group by task)
+            select task, n, round(acc, 5) as accuracy, round(coalesce(case when pp * (n - pp) * pos * (n - pos) > 0 then (n * tp - pp * pos) / sqrt(pp * (n - pp) * pos * (n - pos)) end, 0), 5) + 0.0::double as mcc,
+                   round(case when pos * (n - pos) > 0 then (ry - pos * (pos + 1) / 2) / (pos * (n - pos)) end, 5) as roc_auc from m""",
+        "probe_fixed_reg": f"""with {_PROBE}, r as (select *, {_mean_rank("score")} as a, {_mean_rank("y")} as b from f where task_type = 'reg')
+            select task, count(*) as n, round(sqrt(avg((score - y) * (score - y))), 5) as rmse, round(corr(a, b), 5) as spearman from r group by task""",
+        "probe_sweep_cells": f"""with {_BASE}, {_LABELLED}, fe as (select canon_index, 'PcDs' as method, null::int as layer from probe_features where "isSmilesRDKitParsable" = 1 and canon_index is not null and {_FINITE}
+              union all select distinct s, unnest(['SAE (mean)', 'SAE (max)']), 1 from a join samp using (s) where v < 1e6 and n > 0),
+            r as (select l.task, method, layer, rep::int as rep, case when {_unit("l.canon_index", "rep")} >= 0.8 then 'test' else 'train' end as part, floor(5 * {_unit("l.canon_index", "'fold'", "rep")}) as fold
+                  from l join fe using (canon_index) cross join (select unnest([1, 2, 3]) as rep))
+            select task, method, layer, rep, part, count(*) as n, sum(fold)::bigint as folds from r group by all""",
         "topk_activation": f"with {_BASE} select s as sample_idx, t as token_idx, f as feature, round(v, 6) as value from a qualify row_number() over (partition by s, t order by v desc, f) <= 2",
         "smiles_tokens": f"with {_BASE} select s as sample_idx, t as token_idx, token, {_ROLE} as role from tok",
         "atom_token_map": f"with {_BASE} select s as sample_idx, (row_number() over (partition by s order by t) - 1)::int as atom_idx, t as token_idx from tok where regexp_matches(token, '[a-zA-Z*]')",

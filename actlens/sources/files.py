@@ -9,10 +9,16 @@ from pyspark.sql.types import StructType
 
 
 def sample_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_idx, smiles): the lines of a text file; a line's number is its index, without gaps, from 0."""
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0].value))
-    return spark.createDataFrame(numbered, "sample_idx long, smiles string")
+    """(sample_idx, smiles): the lines of text files, in order of file name; a line's number is its index, without gaps, from 0. Only the line feed is cut off.
+
+    Rows are numbered inside each block of a file by the reader; a running sum over the blocks (a row each) closes the gaps.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path, lineSep="\n").select("value", *at, F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    base = blocks.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"))
+    return lines.join(base, ["file", "start"]).select((F.col("id") + F.col("base")).alias("sample_idx"), F.col("value").alias("smiles"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -47,6 +53,11 @@ def write_acts(acts: DataFrame, path: str, sae_key: str) -> None:
     acts.withColumn("sae_key", F.lit(sae_key)).repartition("sample_idx").sortWithinPartitions("sample_idx", "feature", "token_idx").write.partitionBy("sae_key").mode("append").parquet(path)
 
 
+def write_bins(bins: DataFrame, path: str) -> None:
+    """The sparse bit map (sample_idx, feature, bins), a row per pair with a hit, sorted by sample inside files; pairs without a row are 0."""
+    bins.repartition("sample_idx").sortWithinPartitions("sample_idx", "feature").write.mode("overwrite").parquet(path)
+
+
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """User's column names to the canonical ones; a missing column is an error."""
     missing = set(names) - set(df.columns)
@@ -88,6 +99,7 @@ class _H5Reader(DataSourceReader):
     def read(self, partition):
         import h5py
         import numpy as np
+        import pyarrow as pa
 
         group, first, n_features = partition.value
         with h5py.File(self.path, "r") as f:
@@ -96,8 +108,8 @@ class _H5Reader(DataSourceReader):
         for i, own in enumerate(ptr.reshape(len(n), n_features + 1)):
             size = int(own[-1])
             feature = np.repeat(np.arange(n_features), np.diff(own))
-            for t, c, v in zip(idx[at : at + size], feature, val[at : at + size]):
-                yield first + i, int(t), int(c), float(v)
+            own = [pa.array(np.full(size, first + i)), pa.array(idx[at : at + size].astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(val[at : at + size].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(own, ["sample_idx", "token_idx", "feature", "value"])
             at += size
 
 

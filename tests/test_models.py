@@ -64,23 +64,90 @@ def test_probes(spark):
         y = x @ [1.0, -2.0, 0.5] + 0.3
         rows += [(task, float(v), list(map(float, row))) for v, row in zip(y, x)]
     df = spark.createDataFrame(rows, "task string, y double, x array<double>")
-    w = P.ridge(df, 1e-9)
-    assert set(w) == {"a", "b"} and np.allclose(w["a"], [0.3, 1, -2, 0.5], atol=1e-6)
-    m = {x.task: x for x in P.regression_metrics(P.predict(df, w)).collect()}
+    w = P.ridge(df, ["task"], [1e-9])
+    own = {r.task: r.w for r in w.collect()}
+    assert set(own) == {"a", "b"} and np.allclose(own["a"], [0.3, 1, -2, 0.5], atol=1e-6)
+    m = {x.task: x for x in P.regression_metrics(P.predict(df, w, ["task"])).collect()}
     assert m["a"].rmse < 1e-6 and m["a"].spearman == pytest.approx(1)
     cls = df.selectExpr("task", "cast(y > 0 as double) as y", "x")
-    c = {x.task: x for x in P.classification_metrics(P.predict(cls, P.logistic(cls, c=10.0))).collect()}
+    c = {x.task: x for x in P.classification_metrics(P.predict(cls, P.logistic(cls, ["task"], [10.0]), ["task"])).collect()}
     assert c["a"].accuracy > 0.95 and c["a"].roc_auc > 0.99 and c["a"].mcc > 0.9
     parts = {x.part: x["count"] for x in P.split_rows(spark.range(2000), "id", 0.8).groupBy("part").count().collect()}
     assert abs(parts["train"] - 1600) < 80 and abs(parts["valid"] - 200) < 60
 
 
+def test_cross_validated_probes(spark, monkeypatch):
+    """Against fits of each fold in plain numpy; and in blocks of cells as at once."""
+    r = np.random.default_rng(4)
+    rows = []
+    for task, layer, n in (("a", 1, 120), ("a", None, 90), ("b", 1, 100)):
+        x = r.normal(size=(n, 4))
+        y = x @ r.normal(size=4) + r.normal(size=n) * 2
+        rows += [(task, layer, int(f), float(v), list(map(float, row))) for v, row, f in zip(y, x, r.integers(0, 5, n))]
+    df = spark.createDataFrame(rows, "task string, layer int, fold int, y double, x array<double>").repartition(3)
+    cell = lambda t, k: [np.array(v) for v in zip(*((f, y, x) for a, b, f, y, x in rows if (a, b) == (t, k)))]
+    for got in P.ridge(df, ["task", "layer"], P.GRID, standardize=False).collect():
+        fold, y, x = cell(got.task, got.layer)
+
+        def fit(keep, alpha, x=x, y=y):
+            a, mu = x[keep] - x[keep].mean(0), x[keep].mean(0)
+            w = np.linalg.solve(a.T @ a + alpha * np.eye(4), a.T @ (y[keep] - y[keep].mean()))
+            return np.r_[y[keep].mean() - w @ mu, w]
+
+        def error(alpha, fold=fold, x=x, y=y, fit=fit):
+            return np.mean([np.sqrt(np.mean((np.c_[np.ones((fold == f).sum()), x[fold == f]] @ fit(fold != f, alpha) - y[fold == f]) ** 2)) for f in range(5)])
+
+        best = min(P.GRID, key=error)
+        assert got.hp == best and got.score == pytest.approx(-error(best)) and np.allclose(got.w, fit(fold >= 0, best))
+    cls = df.selectExpr("task", "layer", "fold", "cast(y > 0 as double) as y", "x")
+    once = {(g.task, g.layer): (g.hp, g.score, tuple(g.w)) for g in P.logistic(cls, ["task", "layer"], [0.01, 1.0], steps=6).collect()}
+    monkeypatch.setattr(P, "CELLS", 1)
+    parts = {(g.task, g.layer): (g.hp, g.score, tuple(g.w)) for g in P.logistic(cls, ["task", "layer"], [0.01, 1.0], steps=6).collect()}
+    assert set(once) == {("a", 1), ("a", None), ("b", 1)} == set(parts)
+    for k in once:
+        assert once[k][0] == parts[k][0] and np.allclose(once[k][2], parts[k][2]) and 0.5 < once[k][1] <= 1
+    with pytest.raises(Exception, match="both types"):
+        mixed = spark.createDataFrame([(1, "t", "cls", "train", 1.0), (2, "T ", "reg", "train", 0.5)], "canon_index long, task string, task_type string, split string, y double")
+        P.labelled(mixed, strict=True).collect()
+
+
+def test_losses(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(i // 3) * 7, *(r.normal(size=6).tolist() for _ in range(4)), int(r.integers(0, 6))) for i in range(33)]
+    df = spark.createDataFrame(rows, "sample long, x array<double>, recons array<double>, logits array<double>, recons_logits array<double>, token int")
+    ce = lambda z, t: np.log(np.exp(z).sum()) - z[t]
+    own: dict = {}
+    for s, x, y, a, b, t in rows:
+        own.setdefault(s, []).append((np.mean((np.array(x) - y) ** 2), ce(np.array(b), t) - ce(np.array(a), t)))
+    means = [np.mean(own[s], axis=0) for s in sorted(own)]
+    batches = [np.mean(means[i : i + 4], axis=0) for i in range(0, 11, 4)]
+    got = sae.validation(df, "sample", 4).first()
+    assert (got.n_samples, got.n_batches) == (11, 3) and np.allclose([got.mse, got.diff_ce], np.mean(batches, axis=0))
+    assert sae.validation(df.limit(0), "sample", 4).first().n_samples == 0
+    places = {x.k: x["_n"] for x in sae.numbered(spark.createDataFrame([(int(v),) for v in r.permutation(500) ** 2], "k long"), "k", 7).collect()}
+    assert places == {v * v: v for v in range(500)}
+
+
+def test_weights_as_tables(spark):
+    w = sae.sine_weights(3, 5)
+    back = sae.weights_from(sae.weights_table(spark, w))
+    assert all(np.allclose(back[k], w[k]) for k in w)
+    got, warnings = sae.load_state({"sae.w_enc": w["w_enc"], "sae.other": w["b_pre"], "b_enc": w["b_enc"]}, "sae.")
+    assert set(got) == {"w_enc", "b_enc"} and warnings == ["missing: b_pre", "missing: w_dec", "unexpected: other"]
+
+
+def test_method_labels(spark):
+    df = spark.createDataFrame([("SAE/mean/3",), ("PcDs",), (None,)], "p string")
+    method, layer = P.method_label(df["p"])
+    assert [tuple(r) for r in df.select(method, layer).collect()] == [("SAE (mean)", 3), ("PcDs", None), (None, None)]
+
+
 def test_mean_ranks(spark):
     r = np.random.default_rng(3)
     v = np.round(np.exp(r.normal(0, 4, 2000)), 1)
     g = r.choice(["hot", "hot", "cold"], 2000)
     df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)] + [("one", 1.0)], "task string, v double")
-    got = P.mean_ranks(df, "task", "v", "rank").collect()
+    got = P.mean_ranks(df, ["task"], "v", "rank").collect()
     assert len(got) == 2001
     for k in ("hot", "cold"):
         own = np.sort(v[g == k])
@@ -99,6 +166,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("C\nCC\nC\n")
     lines = files.sample_lines(spark, f"{tmp_path}/s.txt")
     assert sorted(map(tuple, lines.collect())) == [(0, "C"), (1, "CC"), (2, "C")]
+    (tmp_path / "many").mkdir()
+    texts = [f"{i}" * (i % 50) + ("\r" if i % 7 == 0 else "") for i in range(3000)]
+    for k, (a, z) in enumerate(((0, 100), (100, 2500), (2500, 3000))):
+        (tmp_path / "many" / f"part{k}.txt").write_bytes("".join(x + "\n" for x in texts[a:z]).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert [r.smiles for r in files.sample_lines(spark, f"{tmp_path}/many").orderBy("sample_idx").collect()] == texts
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    bins = spark.createDataFrame([(1, 2, 3), (0, 5, 1)], "sample_idx long, feature int, bins int")
+    files.write_bins(bins, f"{tmp_path}/bins")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/bins").collect())) == [(0, 5, 1), (1, 2, 3)]
     assert sorted(map(tuple, files.distinct_lines(lines).collect())) == [("C", 2), ("CC", 1)]
     df = spark.createDataFrame([(1, 0.5), (2, float("nan"))], "conceptIdx int, smd double")
     files.write_tsv(df, f"{tmp_path}/t")

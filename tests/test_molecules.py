@@ -61,22 +61,27 @@ def test_pairs_of_balanced_strings(samples):
 
 
 def test_branches(samples):
-    got = {(r.sample_idx, r.open_idx): (r.depth, r.close_idx, r.n_tokens, r.n_atoms) for r in M.branches(samples).collect()}
+    """As a stack has them: a closing token without an open branch counts for nothing, and an unclosed branch is none."""
+    got = {}
+    for r in M.branches(samples).collect():
+        got.setdefault(r.sample_idx, []).append((r.depth, r.open_idx, r.close_idx, r.tokens, r.atoms))
     for i, s in enumerate(STRINGS):
-        t, stack, own, depth = _tokens(s), [], {None: []}, {None: 0}
-        if s in ("CC(=O", "CC)O"):
+        t = _tokens(s)
+        if not t:
+            assert i not in got
             continue
+        stack, main, want = [], [], []
         for k, x in enumerate(t):
             if x == "(":
-                stack.append(k)
-                own[k], depth[k] = [], len(stack)
+                stack.append((k, []))
             elif x == ")":
-                stack.pop()
+                if stack:
+                    o, own = stack.pop()
+                    want.append((len(stack) + 1, o, k, own))
             else:
-                own[stack[-1] if stack else None].append(k)
-        close = {o: c for kind, _, o, c in _pairs(t) if kind == "branch"}
-        want = {(i, o): (depth[o], close.get(o), len(v), sum(bool(re.search(S.ATOM, t[k])) for k in v)) for o, v in own.items() if o is not None or v}
-        assert {k: v for k, v in got.items() if k[0] == i} == want, s
+                (stack[-1][1] if stack else main).append(k)
+        want.append((0, 0, len(t) - 1, main))
+        assert sorted(got[i]) == sorted((*w, [k for k in w[3] if re.search(S.ATOM, t[k])]) for w in want), s
 
 
 def test_bonds(samples):
@@ -85,15 +90,28 @@ def test_bonds(samples):
     assert got[11, 4] == (3, 0)  # the bond that closes ring 1 ends at the atom before its opening
 
 
-def test_corruption(samples):
-    a = M.corrupt(samples, rounds=2).collect()
-    assert sorted(a) == sorted(M.corrupt(samples.repartition(3), rounds=2).collect()) and len(a) > 100
-    assert all(r.error_smiles for r in a)
-    assert {r.error for r in a} == set(M.EDITS)
+def test_corruption(spark, samples):
+    key = lambda rows: sorted(map(tuple, rows))
+    a = M.corrupt(samples, n=2).collect()
+    assert key(a) == key(M.corrupt(samples.repartition(3), n=2).collect())
+    with_tokens = [i for i, s in enumerate(STRINGS) if _tokens(s)]
+    assert {(r.sample_idx, r.error) for r in a} == {(i, k) for i in with_tokens for k in M.ERRORS}
+    many = spark.createDataFrame([(i, "CC(=O)Oc1ccccc1C(N)=O", i) for i in range(400)], "sample_idx long, smiles string, seed int")
+    kinds: dict = {}
+    for seed in range(25):
+        for r in M.corrupt(many.limit(1), seed=seed).collect():
+            kinds.setdefault(r.error, set()).add(r.error_smiles)
+    base = "CC(=O)Oc1ccccc1C(N)=O"
+    swapped = {x for x in kinds["parentheses"] if sorted(x) == sorted(base) and x != base}
+    assert all(len(v) > 2 for v in kinds.values()) and swapped  # a swap keeps the number of either token
+    assert any(len(x) < len(base) // 2 for x in kinds["syntax"]) and any("c" not in x[:9] for x in kinds["aromaticity"])
+    assert {r.error for r in M.corrupt(samples, error="rings").collect()} == {"rings"}
+    with pytest.raises(ValueError):
+        M.corrupt(samples, error=["no such"])
     with pytest.raises(ValueError):
-        M.corrupt(samples, ["no such"])
+        M.corrupt(samples, error="no such")
     with pytest.raises(TypeError):
-        M.corrupt(samples, "ring_remove")
+        M.corrupt(samples, error=3)
 
 
 def test_ranges(spark):
