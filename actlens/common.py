@@ -69,6 +69,12 @@ def ship(spark: SparkSession) -> None:
     ship.to = sc.applicationId
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for costly work on few files; larger inputs, whose scans have more, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors, keeps column pruning."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
