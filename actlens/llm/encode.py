@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actlens.common import spread
+
 TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 #: Characters from which a text is cut; characters of a piece; bytes of a leaf of an unsplit stretch.
@@ -132,7 +134,7 @@ def pieces(text: str, piece: int = PIECE, leaf: int = LEAF) -> Iterator[tuple[bo
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME, long: int = LONG) -> DataFrame:
     """(key, ids) of every row."""
-    rows = docs.select(F.col(key), F.col(text).alias("_t"))
+    rows = spread(docs.select(F.col(key), F.col(text).alias("_t")))
     size = F.coalesce(F.length("_t"), F.lit(0))
 
     @F.pandas_udf("array<int>")

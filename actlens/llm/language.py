@@ -19,6 +19,7 @@ no segment's first line; repeated rows give each their result; with no labelled
 
 from __future__ import annotations
 
+import bisect
 import pickle
 import re
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlens.common import norm, settle, strip
+from actlens.common import norm, settle, spread, strip
 from actlens.llm import gru
 
 # The twelve languages of TESTDATA.md.
@@ -40,22 +41,33 @@ PROSE = LANGUAGES.index("text")
 #: Labelled documents per language in the sample, and bytes taken of each; both bound what training sees.
 SAMPLE, SAMPLE_BYTES = 500, 8_192
 #: Size of the network; shards, rounds of both phases, steps a round, windows a step, bytes a window, rates at the start.
-HIDDEN, WORKERS, ROUNDS, STEPS, BATCH, WINDOW, RATE, SEED = 32, 6, (6, 5), 110, 40, 128, (0.01, 0.005), 7
+HIDDEN, WORKERS, ROUNDS, STEPS, BATCH, WINDOW, RATE, SEED = 32, 6, (4, 3), 90, 40, 128, (0.01, 0.005), 7
 #: Bytes of a window that count, and bytes of context on either side; windows run together.
-CORE, CONTEXT, TOGETHER = 512, 48, 512
+CORE, CONTEXT, TOGETHER = 1024, 96, 384
 #: A line's weight is that of at most so many bytes; floor of a position's log probability.
 LINE, FLOOR = 12.0, -5.0
 #: Log odds that a marked block must have for another language than that around it; those of a switch elsewhere, and where it is unlikely; weight of a marking or comment line's own bytes.
-BLOCK, SWITCH, NEVER, MARKED = 8.0, 80.0, 10_000.0, 0.4
+BLOCK, SWITCH, UNLIKELY, MARKED = 8.0, 50.0, 150.0, 0.4
 
 # Lines that open a block in another language (fences, tags, here documents, raw strings); comment lines; lines that go on.
-_COMMENT = re.compile(rb"\s*(?://|#(?!include|define|if|endif|!)|--|/\*|\*|<!--)")
-_GOES_ON = re.compile(rb"[ \t]+\S|[})\]]")
+_KIND = re.compile(rb"\s*(?:(#(?!include|define|if|endif|!))|(//)|(--)|(/\*|\*)|(<!--))|[ \t]+\S|[})\]]")
+_COMMENTS = {4: ("python", "shell"), 6: ("javascript", "java", "c", "go", "rust"), 7: ("sql",), 8: ("javascript", "java", "c", "go", "rust", "css", "sql"), 9: ("html", "markdown")}
+_MAY_OPEN = re.compile(rb"[`~]|\"\"\"|'''|<<|<s|<S|#\"")
 _OPENS = re.compile(
     rb"""^(?P<fence>```|~~~)|<(?P<tag>script|style)\b[^>]*>$|<<[-~]?\s*['"]?(?P<word>[A-Za-z_]+)['"]?\s*$|r(?P<hashes>#+)"$""", re.I
 )
 
+#: Hashes that are told apart in the marks of a raw string.
+MOST_HASHES = 8
+
 _WHITE = np.zeros(gru.PAD + 1, bool)
+#: Of lines by their mark.
+_WEIGHT = np.array([1.0, MARKED, MARKED, 1.0, MARKED, 1.0, MARKED, MARKED, MARKED, MARKED])
+#: What leaving each language costs behind a line of each mark.
+_LEAVE = np.full((10, len(LANGUAGES)), SWITCH)
+_LEAVE[1:3] = UNLIKELY
+for _mark, _of in _COMMENTS.items():
+    _LEAVE[_mark, [LANGUAGES.index(x) for x in _of]] = UNLIKELY
 _WHITE[[9, 10, 11, 12, 13, 32, gru.PAD]] = True
 
 
@@ -70,9 +82,10 @@ def line_scores(p: dict, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarra
     # windows of like length run together, so that short ones don't wait for long ones
     jobs = sorted(((min(CORE, size - a), i, a) for i, size in enumerate(lengths) for a in range(0, size, CORE)), reverse=True)
     data = [np.frombuffer(t, np.uint8) for t in texts]
-    for k in range(0, len(jobs), TOGETHER):
-        part = jobs[k : k + TOGETHER]
-        long = part[0][0]
+    k = gru.span(p)
+    for first in range(0, len(jobs), TOGETHER):
+        part = jobs[first : first + TOGETHER]
+        long = -(-part[0][0] // k) * k  # whole steps
         x = np.full((long + 2 * CONTEXT, len(part)), gru.PAD, np.int16)
         line = np.full((long, len(part)), -1, np.int64)
         for j, (size, i, a) in enumerate(part):
@@ -80,37 +93,61 @@ def line_scores(p: dict, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarra
             x[lo - a + CONTEXT : hi - a + CONTEXT, j] = data[i][lo:hi]
             feeds = data[i][a : a + size] == 10
             line[:size, j] = line_at[i] + before[i][a // CORE] + np.cumsum(feeds) - feeds
-        y = np.maximum(gru.log_probs(p, x)[CONTEXT : CONTEXT + long], FLOOR)
-        at = line.T.reshape(-1)
-        good = (at >= 0) & ~_WHITE[x[CONTEXT : CONTEXT + long].T.reshape(-1)]
-        at, y = at[good], y.transpose(1, 0, 2).reshape(-1, y.shape[-1])[good]
-        if len(at):
-            first = np.flatnonzero(np.r_[True, np.diff(at) != 0])
-            np.add.at(sums, at[first], np.add.reduceat(y, first, axis=0))
-            np.add.at(n, at[first], np.diff(np.r_[first, len(at)]))
+        y = np.maximum(gru.log_probs(p, x)[CONTEXT // k : (CONTEXT + long) // k], FLOOR)
+        line = line.reshape(long // k, k, len(part))
+        good = (line >= 0) & ~_WHITE[x[CONTEXT : CONTEXT + long]].reshape(line.shape)
+        # steps within one line count at once, the bytes of others each
+        once = line[:, 0] == line[:, -1]
+        each = good & ~once[:, None]
+        some = np.flatnonzero((once & good.any(1)).T)
+        if len(some):
+            at, c = line[:, 0].T.ravel()[some], good.sum(1).T.ravel()[some]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            np.add.at(sums, at[first], np.add.reduceat(y.transpose(1, 0, 2).reshape(-1, y.shape[-1])[some] * c[:, None], first, axis=0))
+            np.add.at(n, at[first], np.add.reduceat(c, first))
+        step, place, column = np.nonzero(each)
+        at = line[step, place, column]
+        np.add.at(sums, at, y[step, column])
+        np.add.at(n, at, 1)
     return [(sums[a:b], n[a:b]) for a, b in zip(line_at, line_at[1:])]
 
 
 def marks(lines: list[bytes]) -> np.ndarray:
-    """1 for a line that opens a block, 3 for the lines in it, 2 for the one that closes it; of the others, 4 for comments, 5 for lines that go on with something (indented, or a closing bracket), 0 for the rest."""
-    out = np.array([4 if _COMMENT.match(x) else 5 if _GOES_ON.match(x) else 0 for x in lines], np.int8)
+    """1 for a line that opens a block, 3 for the lines in it, 2 for the one that closes it; of the others, 4 and 6 to 9 for what may be a comment, by its sign, 5 for lines that go on with something (indented, or a closing bracket), 0 for the rest. Time is linear in the lines: what closes a block is found in an index of them."""
+    out = np.array([0 if not (m := _KIND.match(x)) else (5, 4, 6, 7, 8, 9)[m.lastindex or 0] for x in lines], np.int8)
+    may = [i for i, x in enumerate(lines) if _MAY_OPEN.search(x)]
+    if not may:
+        return out
     lines = [x.strip() for x in lines]
-    hopeless: set[tuple] = set()  # what is never closed again
+    index: dict[tuple, list[int]] = {}
     i = 0
-    while i < len(lines):
-        opened, i = i, i + 1
-        way = _opening(lines[opened])
-        if way is None or way in hopeless:
-            continue
-        closed = next((j for j in range(i, len(lines)) if _closes(lines[j], *way)), None)
-        if closed is None:
-            hopeless.add(way)
+    for opened in may:
+        if opened < i or (way := _opening(lines[opened])) is None:
             continue
-        out[opened + 1 : closed] = 3
-        out[opened], out[closed], i = 1, 2, closed + 1
+        i = opened + 1
+        closed = _next(index, lines, way, i)
+        if closed is not None:
+            out[opened + 1 : closed] = 3
+            out[opened], out[closed], i = 1, 2, closed + 1
     return out
 
 
+def _next(index: dict[tuple, list[int]], lines: list[bytes], way: tuple[str, bytes], i: int) -> int | None:
+    """The first line from i on that closes a block opened that way."""
+    kind, mark = way
+    if kind == "word" and ("words", b"") not in index:  # all lines by their text, once
+        index["words", b""] = []
+        for j, x in enumerate(lines):
+            index.setdefault(("word", x), []).append(j)
+    if kind == "hashes":
+        mark = mark[:MOST_HASHES]
+    if (kind, mark) not in index:
+        index[kind, mark] = [] if kind == "word" else [j for j, x in enumerate(lines) if _closes(x, kind, mark)]
+    at = index[kind, mark]
+    k = bisect.bisect_left(at, i)
+    return at[k] if k < len(at) else None
+
+
 def _opening(line: bytes) -> tuple[str, bytes] | None:
     for quote in (b'"""', b"'''", b"`"):
         if line.count(quote) % 2 and not line.startswith(b"```"):
@@ -130,19 +167,20 @@ def _closes(line: bytes, way: str, mark: bytes) -> bool:
 
 
 def _path(score: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """The best language of each line, where a switch costs much, and most behind a comment, which goes with the code after it, next to marks, and before a line that goes on with something."""
+    """The best language of each line, where a switch costs SWITCH log odds, and UNLIKELY ones behind a comment of the language that is left, which goes with the code after it, next to marks, and before a line that goes on with something."""
     best = score.argmax(1)
     if (best == best[0]).all():
         return best
-    here, after = kind[:-1], kind[1:]
-    cost = np.where((here == 4) | (here == 1) | (here == 2) | (after == 1) | (after == 2) | (after == 5), NEVER, SWITCH)
+    after = kind[1:]
+    cost = np.where(((after == 1) | (after == 2) | (after == 5))[:, None], UNLIKELY, _LEAVE[kind[:-1]])
     v, own = score[0].copy(), np.arange(len(LANGUAGES))
     back = np.empty(score.shape, np.int8)
     for t in range(1, len(score)):
-        top = v.argmax()
-        stay = v >= v[top] - cost[t - 1]
+        left = v - cost[t - 1]
+        top = left.argmax()
+        stay = v >= left[top]
         back[t] = np.where(stay, own, top)
-        v = np.where(stay, v, v[top] - cost[t - 1]) + score[t]
+        v = np.where(stay, v, left[top]) + score[t]
     path = np.empty(len(score), np.int64)
     path[-1] = v.argmax()
     for t in range(len(score) - 1, 0, -1):
@@ -150,23 +188,29 @@ def _path(score: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return path
 
 
+def _starts(inside: np.ndarray) -> np.ndarray:
+    """Where a stretch of true values begins."""
+    return np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+
+
 def segments(sums: np.ndarray, n: np.ndarray, mark: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(first line, last line, language, confidence) of each segment, lines from 1. The lines outside marked blocks form the best sequence of languages; a marked block is of the one language that suits it best, if by more than BLOCK, else of that around it. Blank lines take no part."""
     at = np.flatnonzero(n)
     if not len(at):
         return []
     kind = mark[at]
-    weight = np.minimum(n[at], LINE) * np.where(np.isin(kind, (0, 3, 5)), 1.0, MARKED)
+    weight = np.minimum(n[at], LINE) * _WEIGHT[kind]
     score = sums[at] / n[at, None] * weight[:, None]
     inside = kind == 3
     path = np.empty(len(at), np.int64)
     path[~inside] = _path(score[~inside], kind[~inside])
-    for a in np.flatnonzero(inside & ~np.r_[False, inside[:-1]]):
-        z = a + int(np.argmin(np.r_[inside[a:], False]))
+    starts = _starts(inside)
+    for a in starts if len(starts) else ():
+        z = a + int(np.argmin(np.append(inside[a:], False)))
         total, around = score[a:z].sum(0), path[a - 1]
         lang = total.argmax()
         path[a:z] = lang if lang != PROSE and total[lang] > total[around] + BLOCK else around
-    cut = np.r_[0, np.flatnonzero(np.diff(path)) + 1, len(path)]
+    cut = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
     out = []
     for a, b in zip(cut, cut[1:]):
         mean = score[a:b].sum(0) / weight[a:b].sum()
@@ -180,7 +224,11 @@ def pieces(text: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, bytes]]]:
     lines = text.split(b"\n")
     mark = marks(lines)
     inside = mark == 3
-    group = np.where(inside, np.cumsum(inside & ~np.r_[False, inside[:-1]]), 0)
+    if not inside.any():
+        return mark, [(np.arange(len(lines)), text)]
+    first = np.zeros(len(lines), np.int64)
+    first[_starts(inside)] = 1
+    group = np.where(inside, np.cumsum(first), 0)
     at = [np.flatnonzero(group == k) for k in range(group.max() + 1)]
     return mark, [(x, b"\n".join([lines[i] for i in x])) for x in at]
 
@@ -239,14 +287,21 @@ def _mean(states: list[dict]) -> dict:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """(text, label): at most per_language texts of each language, those with the smallest hashes; a threshold on the hash keeps the ranking small."""
+    """(text, label): at most per_language different texts of each language, those with the smallest hashes; a threshold on the hash keeps the ranking small, and copies count once. Of a text longer than SAMPLE_BYTES characters, a stretch from a place chosen by its hash."""
     label = F.array_position(F.array(*map(F.lit, LANGUAGES)), norm(F.col("lang"))) - 1
-    rows = docs.where(strip(F.col("text")) != "").select(label.alias("label"), F.xxhash64("text").alias("h")).where("label >= 0")
-    keep = rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("share", F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("n")))
+    hashed = docs.where(strip(F.col("text")) != "").select(label.cast("int").alias("label"), F.xxhash64("text").alias("h"), "text").where("label >= 0")
+    keep = hashed.select("label", "h").distinct().groupBy("label").agg(F.count("*").alias("n")).withColumn("share", F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("n")))
     least = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.col("share")
-    few = docs.where(strip(F.col("text")) != "").select(label.alias("label"), F.xxhash64("text").alias("h"), "text").where("label >= 0").join(F.broadcast(keep), "label").where(F.col("h") <= least)
+    few = hashed.join(F.broadcast(keep), "label").where(F.col("h") <= least)  # a row per language
+    start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES + 1)) + 1
+    few = few.select("label", "h", F.substring("text", start.cast("int"), F.lit(SAMPLE_BYTES)).alias("text")).groupBy("label", "h").agg(F.first("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.encode(F.left("text", F.lit(SAMPLE_BYTES)), "utf-8").alias("text"), F.col("label").cast("int"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.encode("text", "utf-8").alias("text"), "label")
+
+
+def _shards(data: DataFrame) -> DataFrame:
+    """In WORKERS partitions by the text, so that what a shard learns from doesn't depend on files or cores."""
+    return data.repartition(WORKERS, F.xxhash64("text"))
 
 
 def _round(data: DataFrame, state: dict, steps: int, rates: tuple[float, float], seed: int) -> dict:
@@ -258,7 +313,7 @@ def _round(data: DataFrame, state: dict, steps: int, rates: tuple[float, float],
         own = {k: {n: x.copy() for n, x in state[k].items()} for k in "pmv"} | {"t": state["t"]}
         yield pd.DataFrame({"state": [pickle.dumps(_learn(own, texts, labels, steps, rates, seed))] if rows else []})
 
-    return _mean([pickle.loads(r.state) for r in data.repartition(WORKERS).mapInPandas(work, "state binary").collect()])
+    return _mean([pickle.loads(r.state) for r in _shards(data).mapInPandas(work, "state binary").collect()])
 
 
 def _variants(text: bytes) -> Iterator[bytes]:
@@ -289,14 +344,14 @@ def _agreeing(p: dict):
 def train(docs: DataFrame, rounds: tuple[int, int] = ROUNDS, steps: int = STEPS, per_language: int = SAMPLE) -> dict:
     """The network's weights."""
     schema = "text binary, label int"
-    data = settle(sample(docs, per_language).repartition(WORKERS).mapInPandas(_with_variants, schema))
+    data = settle(_shards(sample(docs, per_language)).mapInPandas(_with_variants, schema))
     if data.isEmpty():
         raise ValueError("no document has a known language label")
     p = gru.init(len(LANGUAGES), HIDDEN, SEED)
     state = {"p": p, "m": {k: np.zeros_like(x) for k, x in p.items()}, "v": {k: np.zeros_like(x) for k, x in p.items()}, "t": 0}
     for phase, n in enumerate(rounds):
         if phase:
-            data = settle(data.repartition(WORKERS).mapInPandas(_agreeing(state["p"]), schema))
+            data = settle(_shards(data).mapInPandas(_agreeing(state["p"]), schema))
             if data.isEmpty():
                 break
         for i in range(n):
@@ -321,8 +376,7 @@ def identify(docs: DataFrame, weights: dict, key: str = "doc_id") -> DataFrame:
                 yield pd.DataFrame(out, columns=[key, "lang", "language", "confidence", "segments"])
 
     kind = docs.schema[key].dataType.simpleString()
-    parts = max(4 * spark.sparkContext.defaultParallelism, docs.count() // 20_000)
-    return docs.select(key, "lang", "text").repartition(parts, F.xxhash64(key, "text")).mapInPandas(
+    return spread(docs.select(key, "lang", "text")).mapInPandas(
         work, f"{key} {kind}, lang string, language string, confidence double, segments array<struct<first_line: int, last_line: int, lang: string, confidence: double>>"
     )
 

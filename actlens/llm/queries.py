@@ -18,9 +18,21 @@ def _daily_percentiles(s, d):
     return percentiles.percentiles(percentiles.combine(daily, ["feature"]), ["feature"])
 
 
+_trained: dict = {}
+
+
+def _weights(docs):
+    """The network trained on a table: worked out once for each version of its files in this process."""
+    version = docs.sparkSession.sparkContext.applicationId, tuple(sorted(docs.inputFiles())), docs.agg(F.max("_metadata.file_modification_time")).first()[0]
+    if version not in _trained:
+        _trained.clear()
+        _trained[version] = language.train(docs)
+    return _trained[version]
+
+
 def _languages(s, d):
     docs = read(s, d, "documents")
-    return language.identify(docs, language.train(docs)).select("doc_id", "language", F.round("confidence", 3).alias("confidence"), F.size("segments").alias("n_segments"))
+    return language.identify(docs, _weights(docs)).select("doc_id", "language", F.round("confidence", 3).alias("confidence"), F.size("segments").alias("n_segments"))
 
 
 def queries() -> dict:
@@ -36,7 +48,7 @@ def queries() -> dict:
         "p6_molptr": lambda s, d: percentiles.percentiles(percentiles.summary(read(s, d, "samples"), ["chunk"], "molptr"), ["chunk"]),
         "p7_ids": lambda s, d: encode.encode_corpus(read(s, d, "documents")),
         "p8_mix": lambda s, d: mixing.mix(read(s, d, "documents"), read(s, d, "mix_targets"))[0],
-        "p9_found": lambda s, d: language.found(read(s, d, "documents")),
+        "p9_found": lambda s, d: language.found(read(s, d, "documents"), _weights(read(s, d, "documents"))),
         "p9_languages": _languages,
         "p8_at_targets": lambda s, d: mixing.mix(read(s, d, "documents"), read(s, d, "mix_targets"), fill=False)[0],
         "p8_report": lambda s, d: mixing.report(read(s, d, "documents"), read(s, d, "mix_targets")),

@@ -11,7 +11,7 @@ PY, SQL = L.LANGUAGES.index("python"), L.LANGUAGES.index("sql")
 
 def test_gradients():
     r = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in gru.init(3, 4, 1).items()}
+    p = {k: v.astype(np.float64) for k, v in gru.init(3, 4, 1, 2).items()}
     x, y, w = r.integers(0, 5, (6, 3)), r.integers(0, 3, (6, 3)), r.random((6, 3))
     _, g = gru.gradients(p, x, y, w)
     for k in p:
@@ -46,6 +46,13 @@ def _score(langs, sure=1.0):
     return sums, n
 
 
+def _strong(langs):
+    n = np.full(len(langs), 20)
+    sums = np.full((len(langs), len(L.LANGUAGES)), L.FLOOR) * n[:, None]
+    sums[np.arange(len(langs)), langs] = 0
+    return sums, n
+
+
 def test_segments():
     langs = [PY] * 4 + [None] + [SQL] * 3 + [PY] * 3
     lines = [b"import a", b"b = 1", b"c = 2", b'x = """', b"", b"select 1", b"from t", b"where u", b'"""', b"d = 3", b"e = 4"]
@@ -54,6 +61,13 @@ def test_segments():
     assert L.segments(*_score([None, None]), np.zeros(2, np.int8)) == []
     one = L.segments(*_score([PY, PY, SQL, PY, PY]), np.zeros(5, np.int8))
     assert [(a, b, x) for a, b, x, _ in one] == [(1, 5, PY)]
+    # without any mark: a line at the end, two lines inside, and no switch behind a comment of the language
+    plain = np.zeros(6, np.int8)
+    found = lambda langs, mark=plain: [(a, b, x) for a, b, x, _ in L.segments(*_strong(langs), mark)]
+    assert found([PY] * 5 + [SQL]) == [(1, 5, PY), (6, 6, SQL)] and found([PY] * 2 + [SQL] * 2 + [PY] * 2) == [(1, 2, PY), (3, 4, SQL), (5, 6, PY)]
+    hash_, dashes = plain.copy(), plain.copy()
+    hash_[4], dashes[4] = 4, 7
+    assert found([PY] * 5 + [SQL], hash_) == [(1, 6, PY)] and found([PY] * 5 + [SQL], dashes) == [(1, 5, PY), (6, 6, SQL)]
 
 
 def test_marks():
@@ -61,6 +75,14 @@ def test_marks():
     assert L.marks(lines).tolist() == [4, 1, 3, 2, 1, 3, 2, 1, 3, 2, 0, 0, 5, 5]
 
 
+def test_unclosed_words_cost_no_time():
+    import time
+
+    lines = [f"cout <<word{i}".replace("0", "o").translate(str.maketrans("123456789", "abcdefghi")).encode() for i in range(8000)]
+    began = time.perf_counter()
+    assert not (L.marks(lines) == 3).any() and time.perf_counter() - began < 0.5
+
+
 def _documents(n, seed):
     r = random.Random(seed)
     w = lambda: r.choice(["alpha", "bond", "carbon", "delta", "edge"])
