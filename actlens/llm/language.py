@@ -43,7 +43,7 @@ SAMPLE, SAMPLE_BYTES = 500, 8_192
 #: Size of the network; shards, rounds of both phases, steps a round, windows a step, bytes a window, rates at the start.
 HIDDEN, WORKERS, ROUNDS, STEPS, BATCH, WINDOW, RATE, SEED = 32, 6, (4, 3), 90, 40, 128, (0.01, 0.005), 7
 #: Bytes of a window that count, and bytes of context on either side; windows run together.
-CORE, CONTEXT, TOGETHER = 1024, 96, 384
+CORE, CONTEXT, TOGETHER = 2048, 96, 256
 #: A line's weight is that of at most so many bytes; floor of a position's log probability.
 LINE, FLOOR = 12.0, -5.0
 #: Log odds that a marked block must have for another language than that around it; those of a switch elsewhere, and where it is unlikely; weight of a marking or comment line's own bytes.
@@ -79,32 +79,34 @@ def line_scores(p: dict, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarra
     sums, n = np.zeros((line_at[-1], len(LANGUAGES)), np.float64), np.zeros(line_at[-1], np.int64)
     # line feeds before each window of a text
     before = [np.r_[0, np.cumsum([t.count(b"\n", a, a + CORE) for a in range(0, len(t), CORE)])] for t in texts]
-    # windows of like length run together, so that short ones don't wait for long ones
-    jobs = sorted(((min(CORE, size - a), i, a) for i, size in enumerate(lengths) for a in range(0, size, CORE)), reverse=True)
+    # windows with what stands around them, within their text; those of like length run together
+    jobs = [(min(a + CORE + CONTEXT, size) - max(0, a - CONTEXT), i, a) for i, size in enumerate(lengths) for a in range(0, size, CORE)]
+    jobs.sort(reverse=True)
     data = [np.frombuffer(t, np.uint8) for t in texts]
     k = gru.span(p)
     for first in range(0, len(jobs), TOGETHER):
         part = jobs[first : first + TOGETHER]
         long = -(-part[0][0] // k) * k  # whole steps
-        x = np.full((long + 2 * CONTEXT, len(part)), gru.PAD, np.int16)
+        x = np.full((long, len(part)), gru.PAD, np.int16)
         line = np.full((long, len(part)), -1, np.int64)
         for j, (size, i, a) in enumerate(part):
-            lo, hi = max(0, a - CONTEXT), min(lengths[i], a + size + CONTEXT)
-            x[lo - a + CONTEXT : hi - a + CONTEXT, j] = data[i][lo:hi]
-            feeds = data[i][a : a + size] == 10
-            line[:size, j] = line_at[i] + before[i][a // CORE] + np.cumsum(feeds) - feeds
-        y = np.maximum(gru.log_probs(p, x)[CONTEXT // k : (CONTEXT + long) // k], FLOOR)
+            lo = max(0, a - CONTEXT)
+            x[:size, j] = data[i][lo : lo + size]
+            own = data[i][a : a + CORE]
+            feeds = own == 10
+            line[a - lo : a - lo + len(own), j] = line_at[i] + before[i][a // CORE] + np.cumsum(feeds) - feeds
+        y = np.maximum(gru.log_probs(p, x), FLOOR)
         line = line.reshape(long // k, k, len(part))
-        good = (line >= 0) & ~_WHITE[x[CONTEXT : CONTEXT + long]].reshape(line.shape)
+        good = (line >= 0) & ~_WHITE[x].reshape(line.shape)
         # steps within one line count at once, the bytes of others each
         once = line[:, 0] == line[:, -1]
         each = good & ~once[:, None]
         some = np.flatnonzero((once & good.any(1)).T)
         if len(some):
             at, c = line[:, 0].T.ravel()[some], good.sum(1).T.ravel()[some]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            np.add.at(sums, at[first], np.add.reduceat(y.transpose(1, 0, 2).reshape(-1, y.shape[-1])[some] * c[:, None], first, axis=0))
-            np.add.at(n, at[first], np.add.reduceat(c, first))
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            np.add.at(sums, at[start], np.add.reduceat(y.transpose(1, 0, 2).reshape(-1, y.shape[-1])[some] * c[:, None], start, axis=0))
+            np.add.at(n, at[start], np.add.reduceat(c, start))
         step, place, column = np.nonzero(each)
         at = line[step, place, column]
         np.add.at(sums, at, y[step, column])

@@ -45,15 +45,12 @@ def _letter(token: Column) -> Column:
 def records(dataset: DataFrame) -> DataFrame:
     """(record_id, task, side, split, source, canon_index, text, id): side is train or eval; text is the tokens, joined; id names the class of task, side and text."""
     split = norm(F.col("split"))
-    toks = S.tokens(strip(F.col("smiles")))
-    return (
-        dataset.select(
-            "record_id", norm(F.col("task")).alias("task"), split.alias("split"), F.when(split == "train", "train").when(split.isin("test", "valid"), "eval").alias("side"),
-            norm(F.col("source")).alias("source"), "canon_index", F.when(F.size(toks) > 0, F.array_join(toks, WORD)).alias("text"),
-        )
-        .where("record_id is not null and task is not null and side is not null")
-        .withColumn("id", F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.concat_ws("\x1e", "side", "text", "task")))))
-    )
+    # generators of one row, behind which a value is not worked out again wherever it is used
+    own = dataset.select("record_id", norm(F.col("task")).alias("task"), F.explode(F.array(split)).alias("split"), norm(F.col("source")).alias("source"), "canon_index", "smiles")
+    own = own.withColumn("side", F.when(F.col("split") == "train", "train").when(F.col("split").isin("test", "valid"), "eval")).where("record_id is not null and task is not null and side is not null")
+    text = F.nullif(F.array_join(S.tokens(strip(F.col("smiles"))), WORD), F.lit(""))
+    own = own.select("record_id", "task", "side", "split", "source", "canon_index", F.explode(F.array(text)).alias("text"))
+    return own.withColumn("id", F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.concat_ws("\x1e", "side", "text", "task")))))
 
 
 def _grams(classes: DataFrame) -> DataFrame:
@@ -117,14 +114,10 @@ def _ngrams(text: Column) -> Column:
 
 def near_classes(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes (id, task, side, text, first, letters, len, multi), and the pairs of them within EDITS edits: (task, train_id, eval_id, train_first, eval_first, containment, distance). containment: the share of the evaluation text's GRAM-word n-grams (the whole text, if shorter) that stand in the training text."""
-    toks = F.split("text", WORD)
-    classes = settle(
-        recs.where("text is not null")
-        .groupBy("id").agg(F.first("task").alias("task"), F.first("side").alias("side"), F.first("text").alias("text"), F.min("record_id").alias("first"))
-        .withColumn("letters", F.array_join(F.transform(toks, _letter), ""))
-        .withColumn("len", F.length("letters"))
-        .withColumn("multi", F.array_distinct(F.filter(toks, lambda t: F.length(t) > 1)))
-    )
+    classes = recs.where("text is not null").groupBy("id", "task", "side", "text").agg(F.min("record_id").alias("first"))
+    classes = classes.select("*", F.explode(F.array(F.split("text", WORD))).alias("t"))
+    classes = classes.select("id", "task", "side", "text", "first", "t", F.explode(F.array(F.array_join(F.transform("t", _letter), ""))).alias("letters"))
+    classes = settle(classes.withColumn("len", F.length("letters")).withColumn("multi", F.array_distinct(F.filter("t", lambda t: F.length(t) > 1))).drop("t"))
     train, evals = classes.where("side = 'train'"), classes.where("side = 'eval'")
     grams = _grams(evals)
     n = PIECES * evals.count()
