@@ -71,12 +71,27 @@ def _zero(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0))
 
 
-def confusion(acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds: list[float], fpc: DataFrame | None = None, substructure: bool = False) -> DataFrame:
+def sums(acts: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(sample_idx, feature, x, xx, _0, ...): what a latent does in a sample, as sum, sum of squares, and tokens above each threshold. Acts come clustered by these keys, so this shuffles nothing."""
+    v = F.col("value")
+    return acts.groupBy("sample_idx", "feature").agg(F.sum(v).alias("x"), F.sum(v * v).alias("xx"), *_over(thresholds))
+
+
+def hits(acts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sample_idx, token_idx, concept_idx, feature, value): the activations on tokens of each concept."""
+    return acts.join(labels.select("sample_idx", "concept_idx", "token_idx").distinct(), ["sample_idx", "token_idx"])
+
+
+def confusion(
+    acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds: list[float], fpc: DataFrame | None = None, substructure: bool = False,
+    summed: DataFrame | None = None, on: DataFrame | None = None,
+) -> DataFrame:
     """(concept_idx, feature, threshold, tp, fn, fp, tn[, tp_sub, n_sub]) over tokens.
 
     Without fpc, a latent counts in a sample for the concepts present there, if it fires there at all: its recall is
     optimistic. With fpc(concept_idx, feature), given pairs count over every token of every sample that has one of
     the concepts. tp_sub counts matches all of whose tokens are above the threshold; n_sub all matches of the concept.
+    summed and on: sums(acts, thresholds) and hits(acts, labels), where they are there already.
     """
     k = range(len(thresholds))
     if fpc is not None:
@@ -84,7 +99,7 @@ def confusion(acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds
     spots = labels.select("sample_idx", "concept_idx", "token_idx").distinct()
     sizes = samples.select("sample_idx", F.col("n_tokens").cast("long").alias("n"))
     present = spots.groupBy("sample_idx", "concept_idx").agg(F.count("*").alias("np"))
-    fires = acts.groupBy("sample_idx", "feature").agg(*_over(thresholds))
+    fires = (sums(acts, thresholds) if summed is None else summed).drop("x", "xx")
     if fpc is None:
         base = present.join(sizes, "sample_idx").join(fires, "sample_idx").groupBy("concept_idx", "feature").agg(F.sum("np").alias("np"), F.sum("n").alias("n"), *_sum("_", len(thresholds), "pp"))
     else:
@@ -93,7 +108,7 @@ def confusion(acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds
         pp = fires.join(universe, "sample_idx", "left_semi").groupBy("feature").agg(*_sum("_", len(thresholds), "pp"))
         np_ = present.join(sizes.select("sample_idx"), "sample_idx").groupBy("concept_idx").agg(F.sum("np").alias("np"))
         base = fpc.select("concept_idx", "feature").distinct().join(np_, "concept_idx", "left").join(pp, "feature", "left").crossJoin(F.broadcast(n))  # n is one row
-    on = acts.join(spots, ["sample_idx", "token_idx"]).join(sizes.select("sample_idx"), "sample_idx", "left_semi")
+    on = (hits(acts, labels) if on is None else on).join(sizes.select("sample_idx"), "sample_idx", "left_semi")
     if fpc is not None:
         on = on.join(fpc.select("concept_idx", "feature").distinct(), ["concept_idx", "feature"], "left_semi")
     out = base.join(on.groupBy("concept_idx", "feature").agg(*(c.alias(f"tp{i}") for i, c in enumerate(_over(thresholds)))), ["concept_idx", "feature"], "left")
@@ -137,11 +152,14 @@ def _smd(pos: tuple[Column, Column], neg: tuple[Column, Column], n_pos: Column,
     return F.coalesce((pm - nm) / (F.sqrt(F.greatest(var, F.lit(0.0))) + eps), F.lit(float("nan")))
 
 
-def concept_smd(acts: DataFrame, samples: DataFrame, labels: DataFrame, pooled: bool = False, eps: float = 1e-6) -> DataFrame:
+def concept_smd(
+    acts: DataFrame, samples: DataFrame, labels: DataFrame, pooled: bool = False, eps: float = 1e-6, summed: DataFrame | None = None, on: DataFrame | None = None
+) -> DataFrame:
     """(concept_idx, feature, smd): standardized difference between a latent's activation on concept tokens and on the other tokens of the samples that hold the concept.
 
     pooled: a positive unit is a match (mean, and mean of squares, inside it); negative are the tokens outside the
     first match. Pairs whose latent never fires in a sample with the concept are left out; their difference is 0.
+    summed and on: sums(acts, ...) and hits(acts, labels), where they are there already.
     """
     v = F.col("value")
     sizes = samples.select("sample_idx", F.col("n_tokens").cast("long").alias("n"))
@@ -151,14 +169,14 @@ def concept_smd(acts: DataFrame, samples: DataFrame, labels: DataFrame, pooled:
     first = width.where("match_idx = 0") if pooled else width
     n_neg = first.join(sizes, "sample_idx").groupBy("concept_idx").agg(F.sum(F.col("n") - F.col("w")).alias("n_neg"))
     n_pos = width.groupBy("concept_idx").agg((F.count("*") if pooled else F.sum("w")).alias("n_pos"))
-    per_sample = acts.groupBy("sample_idx", "feature").agg(F.sum(v).alias("x"), F.sum(v * v).alias("xx"))
+    per_sample = (sums(acts, []) if summed is None else summed).select("sample_idx", "feature", "x", "xx")
     tot = first.select("sample_idx", "concept_idx").join(per_sample, "sample_idx").groupBy("concept_idx", "feature").agg(F.sum("x").alias("x"), F.sum("xx").alias("xx"))
     if pooled:
         hit = acts.join(labels.distinct(), ["sample_idx", "token_idx"]).join(width, ["sample_idx", "concept_idx", "match_idx"])
         w, one = F.col("w"), F.when(F.col("match_idx") == 0, v).otherwise(0.0)
         pos = hit.groupBy("concept_idx", "feature").agg(F.sum(v / w).alias("px"), F.sum(v * v / w).alias("pxx"), F.sum(one).alias("ox"), F.sum(one * v).alias("oxx"))
     else:
-        pos = acts.join(spots, ["sample_idx", "token_idx"]).groupBy("concept_idx", "feature").agg(F.sum(v).alias("px"), F.sum(v * v).alias("pxx"), F.sum(v).alias("ox"), F.sum(v * v).alias("oxx"))
+        pos = (hits(acts, labels) if on is None else on.join(sizes.select("sample_idx"), "sample_idx", "left_semi")).groupBy("concept_idx", "feature").agg(F.sum(v).alias("px"), F.sum(v * v).alias("pxx"), F.sum(v).alias("ox"), F.sum(v * v).alias("oxx"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     both = tot.join(pos, ["concept_idx", "feature"], "left").join(n_pos.join(n_neg, "concept_idx"), "concept_idx")
     smd = _smd((z("px"), z("pxx")), (F.col("x") - z("ox"), F.col("xx") - z("oxx")), F.col("n_pos").cast("double"), F.col("n_neg").cast("double"), eps)

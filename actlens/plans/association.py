@@ -9,17 +9,36 @@ from actlens.common import settle
 from actlens.operators import concepts as C
 
 
-def prefilter(acts: DataFrame, samples: DataFrame, labels: DataFrame, k: int, fraction: float = 1.0, seed: int = 42, pooled: bool = False) -> DataFrame:
+def prefilter(
+    acts: DataFrame, samples: DataFrame, labels: DataFrame, k: int, fraction: float = 1.0, seed: int = 42, pooled: bool = False, summed: DataFrame | None = None, on: DataFrame | None = None
+) -> DataFrame:
     """fpc(concept_idx, feature, key): the k latents with the highest positive difference per concept, on a fraction of the samples (1: all)."""
-    some = labels if fraction >= 1 else C.sampled(labels, fraction, seed)
-    smd = C.concept_smd(acts, samples, some, pooled).withColumnRenamed("smd", "score")
-    return C.top_features(smd, k)
-
-
-def associate(acts: DataFrame, samples: DataFrame, labels: DataFrame, concepts: DataFrame, thresholds: list[float], k: int = 64, substructure: bool = False, fraction: float = 1.0) -> DataFrame:
-    """Metrics rows with concept names, in order of latent, concept and threshold."""
-    fpc = settle(prefilter(acts, samples, labels, k, fraction))
-    cm = C.confusion(acts, samples, labels, thresholds, fpc, substructure)
+    return C.top_features(differences(acts, samples, labels, fraction, seed, pooled, summed, on), k)
+
+
+def differences(
+    acts: DataFrame, samples: DataFrame, labels: DataFrame, fraction: float = 1.0, seed: int = 42, pooled: bool = False, summed: DataFrame | None = None, on: DataFrame | None = None
+) -> DataFrame:
+    """(concept_idx, feature, score): the mean differences that the prefilter ranks, on a fraction of the samples."""
+    if fraction < 1:
+        labels = settle(C.sampled(labels, fraction, seed))
+        on = on if on is None else on.join(labels.select("sample_idx").distinct(), "sample_idx", "left_semi")
+    return C.concept_smd(acts, samples, labels, pooled, summed=summed, on=on).withColumnRenamed("smd", "score")
+
+
+def associate(
+    acts: DataFrame, samples: DataFrame, labels: DataFrame, concepts: DataFrame, thresholds: list[float], k: int = 64, substructure: bool = False, fraction: float = 1.0,
+    seed: int = 42, pooled: bool = False, fpc: DataFrame | None = None,
+) -> DataFrame:
+    """Metrics rows with concept names, in order of latent, concept and threshold. fpc: the latents of each concept, if they are chosen already.
+
+    The activations are cleaned and clustered once; both passes read their sums per sample and their rows on concept tokens, which are settled too, so activations are shuffled twice in all.
+    """
+    acts, samples, labels = settle(acts), settle(samples), settle(labels)
+    summed, on = settle(C.sums(acts, thresholds)), settle(C.hits(acts, labels))
+    if fpc is None:
+        fpc = prefilter(acts, samples, labels, k, fraction, seed, pooled, summed, on)
+    cm = C.confusion(acts, samples, labels, thresholds, settle(fpc), substructure, summed, on)
     return C.names(C.scores(cm, substructure), concepts).orderBy("featureIdx", "conceptIdx", "threshold")
 
 

@@ -40,20 +40,25 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "concepts")
 
 
-def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_idx, concept_idx, tokens): the distinct matches, each a sorted set of tokens."""
-    names = concepts(spark, sf_dir).select("concept_idx", norm(F.col("concept")).alias("name"))
-    rows = read(spark, sf_dir, "eval_data").select(F.col("smiles").alias("sample_idx"), norm(F.col("concept")).alias("name"), F.explode("token_idxs").alias("m"))
+def matches_of(rows: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(sample_idx, concept_idx, tokens): the distinct matches of label rows (smiles, concept, token_idxs), each a sorted set of tokens."""
+    names = concepts.select("concept_idx", norm(F.col("concept")).alias("name"))
+    rows = rows.select(F.col("smiles").alias("sample_idx"), norm(F.col("concept")).alias("name"), F.explode("token_idxs").alias("m"))
     match = F.array_sort(F.array_distinct(F.filter("m", lambda t: t.isNotNull())))
     return rows.where("sample_idx is not null").join(names, "name").select("sample_idx", "concept_idx", match.alias("tokens")).where(F.size("tokens") > 0).distinct()
 
 
-def label_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labels_of(rows: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(sample_idx, concept_idx, match_idx, token_idx)."""
     w = Window.partitionBy("sample_idx", "concept_idx").orderBy("tokens")
-    numbered = label_matches(spark, sf_dir).withColumn("match_idx", F.row_number().over(w) - 1)
+    numbered = matches_of(rows, concepts).withColumn("match_idx", F.row_number().over(w) - 1)
     return numbered.select("sample_idx", "concept_idx", "match_idx", F.explode("tokens").alias("token_idx"))
 
 
+def label_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels_of(read(spark, sf_dir, "eval_data"), concepts(spark, sf_dir))
+
+
 def range_members(ends: DataFrame) -> DataFrame:
     """(alt_idx, ref_idx) from (ref_idx, end), references numbered from 0 without gaps: reference i owns the variants from the end of i - 1 up to its own; one without variants owns none. An equi-join finds the start, so no range join is needed."""
     before = ends.select((F.col("ref_idx") + 1).alias("ref_idx"), F.col("end").alias("start"))
