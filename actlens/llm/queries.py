@@ -43,6 +43,7 @@ def queries() -> dict:
         "p4_found": lambda s, d: term_counts.term_counts(read(s, d, "token_preference")).where("mark is not null").select("token", "mark"),
         "p4_terms": lambda s, d: term_counts.term_counts(read(s, d, "token_preference")),
         "p5_found": lambda s, d: top_n.top_n(read(s, d, "metrics"), "conceptIdx", "featureIdx", "f1Score", 10).select("conceptIdx", "featureIdx"),
+        "p5_hot_groups": lambda s, d: top_n.top_n(read(s, d, "metrics"), "conceptIdx", "featureIdx", "f1Score", 10, heavy=100).select("conceptIdx", "featureIdx", "f1Score", "rank"),
         "p6_percentiles": _activation_percentiles,
         "p6_daily_combined": _daily_percentiles,
         "p6_molptr": lambda s, d: percentiles.percentiles(percentiles.summary(read(s, d, "samples"), ["chunk"], "molptr"), ["chunk"]),
@@ -107,6 +108,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_terms": f"with {_TERMS} select token, total, records, lowest, highest, mark from marked",
         "p5_found": """with b as (select "conceptIdx", "featureIdx", max("f1Score") as s from metrics where "f1Score" > 0 and "f1Score" <= 1 and not isnan("f1Score") and "conceptIdx" is not null and "featureIdx" is not null group by all)
             select "conceptIdx", "featureIdx" from b qualify row_number() over (partition by "conceptIdx" order by s desc, "featureIdx") <= 10""",
+        "p5_hot_groups": """with b as (select "conceptIdx", "featureIdx", max("f1Score") as s from metrics where "f1Score" > 0 and "f1Score" <= 1 and not isnan("f1Score") and "conceptIdx" is not null and "featureIdx" is not null group by all)
+            select "conceptIdx", "featureIdx", s as "f1Score", (row_number() over (partition by "conceptIdx" order by s desc, "featureIdx"))::int as rank from b qualify rank <= 10""",
         "p6_percentiles": activations,
         "p6_daily_combined": activations,
         "p6_molptr": _percentile_sql("samples", "chunk", "molptr"),

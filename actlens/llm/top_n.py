@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from actlens.common import settle
 
-#: Items from which a group is heavy; score buckets and salts of a heavy group.
-HEAVY, BUCKETS, SALTS = 50_000, 256, 16
+#: Items from which a group is heavy, and of a salt of a bucket on average if all its scores were in one; score buckets of a heavy group.
+HEAVY, BUCKETS = 50_000, 256
 
 
 def best_scores(df: DataFrame, group: str, item: str, score: str) -> DataFrame:
@@ -39,9 +39,10 @@ def _first(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 def top_n(df: DataFrame, group: str, item: str, score: str, n: int, heavy: int = HEAVY) -> DataFrame:
     """(group, item, score, rank): the n best items of each group by their best score."""
     best = settle(best_scores(df, group, item, score))
-    hot = best.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= heavy).select("g")
+    hot = best.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= heavy)  # at most (rows / heavy) groups
     light = _first(best.join(hot, "g", "left_anti"), ["g"], n)
-    bucketed = best.join(hot, "g", "left_semi").withColumn("bucket", F.floor(F.col("score") * BUCKETS)).withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    salts = F.ceil(F.col("size") / max(heavy, 1))
+    bucketed = best.join(hot, "g").withColumn("bucket", F.floor(F.col("score") * BUCKETS)).withColumn("salt", F.pmod(F.xxhash64("item"), salts)).drop("size")
     above = Window.partitionBy("g").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     kept = (
         bucketed.groupBy("g", "bucket").agg(F.count("*").alias("size"))
