@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.common import broadcast_if
 from actlens.common import fraction as unit
 
 EPS = 1e-7
+#: Counted groups of variants up to which their sizes are broadcast to the latents.
+GROUPS = 100_000
 
 
 def sampled(labels: DataFrame, fraction: float, seed: int = 42, bits: int = 16) -> DataFrame:
@@ -204,7 +207,8 @@ def representation_smd(acts: DataFrame, variants: DataFrame, references: DataFra
     count = nv.groupBy("grp").agg(F.count("*").cast("double").alias("m"))
     whole = references.agg(F.count("*").cast("double").alias("r"))
     moments = ref.groupBy("feature").agg(F.sum("x").alias("rs"), F.sum(F.col("x") * F.col("x")).alias("rss"))
-    grid = features.crossJoin(F.broadcast(count)).crossJoin(F.broadcast(whole))  # latents times groups, both dimensions
+    groups = nv.select("grp").distinct().count()
+    grid = features.crossJoin(broadcast_if(count, groups, GROUPS)).crossJoin(F.broadcast(whole))  # latents times groups, which is the result's size; whole is one row
     out = grid.join(sums, ["feature", "grp"], "left").join(moments, "feature", "left")
     rm, am = z("rs") / F.col("r"), z("ax") / F.col("m")
     sd = F.sqrt(F.greatest(F.lit(0.0), (z("rss") / F.col("r") - rm * rm + z("axx") / F.col("m") - am * am) / 2))

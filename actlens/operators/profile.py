@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.common import broadcast_if, settle
 from actlens.functions import smiles as S
 
+#: Counted tokens up to which the vocabulary is broadcast to the latents.
+BROADCAST = 100_000
+
 
 def fired(acts: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample_idx, feature, n_active, n_tokens, max, mean, mean_square) of each latent that fires in a sample; means are over all tokens."""
@@ -63,10 +67,13 @@ def token_preference(acts: DataFrame, tokens: DataFrame) -> DataFrame:
     return token_counts(acts, tokens).join(global_counts(tokens), "token").select("feature", "token", "n", (F.col("n") / F.col("total")).alias("ratio"), F.row_number().over(w).alias("rank"))
 
 
-def token_preference_inverse(acts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(feature, token, n): tokens on which the latent does not fire, as all occurrences less those where it does; zeros are never expanded. Tokens with none are left out."""
+def token_preference_inverse(acts: DataFrame, tokens: DataFrame, vocabulary: int = 1_000_000) -> DataFrame:
+    """(feature, token, n): tokens on which the latent does not fire, as all occurrences less those where it does; zeros are never expanded. Tokens with none are left out. The result has latents times vocabulary rows: a counted vocabulary above the given one is an error, not a silent explosion."""
     active = token_counts(acts, tokens)
-    dims = active.select("feature").distinct().crossJoin(global_counts(tokens))  # latents times vocabulary, both dimensions
+    total = settle(global_counts(tokens))
+    if (n := total.count()) > vocabulary:
+        raise ValueError(f"{n} distinct tokens; raise `vocabulary` if a row for each of them and each latent is meant")
+    dims = active.select("feature").distinct().crossJoin(broadcast_if(total, n, BROADCAST))  # latents times vocabulary, which is the result's size
     return dims.join(active, ["feature", "token"], "left").select("feature", "token", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
 
 

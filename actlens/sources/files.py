@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -58,6 +58,17 @@ def write_bins(bins: DataFrame, path: str) -> None:
     bins.repartition("sample_idx").sortWithinPartitions("sample_idx", "feature").write.mode("overwrite").parquet(path)
 
 
+def chunk_number(name: Column) -> Column:
+    """The first number in a chunk's name, to sort chunks by; null if there is none."""
+    return F.nullif(F.regexp_extract(name, r"\d+", 0), F.lit("")).cast("int")
+
+
+def key_parts(key: Column) -> Column:
+    """(layer, latents, k) of a model's key layer-latents-k."""
+    part = F.split(key, "-")
+    return F.struct(*(F.get(part, F.lit(i)).try_cast("int").alias(c) for i, c in enumerate(("layer", "latents", "k"))))
+
+
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """User's column names to the canonical ones; a missing column is an error."""
     missing = set(names) - set(df.columns)

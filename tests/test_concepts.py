@@ -141,6 +141,31 @@ def test_profiles(spark, world):
         assert (f in rho) == bool(zs) and (not zs or rho[f] == pytest.approx(np.tanh(np.mean(zs))))
 
 
+def test_a_large_vocabulary_is_no_silent_explosion(spark, world):
+    _, _, acts, _, _ = world
+    tokens = spark.createDataFrame([(0, 0, "C"), (0, 1, "N")], "sample_idx long, token_idx int, token string")
+    assert L.token_preference_inverse(acts, tokens, 2).count() >= 0
+    with pytest.raises(ValueError, match="distinct tokens"):
+        L.token_preference_inverse(acts, tokens, 1)
+
+
+def test_exact_sample_and_packed_labels(spark, world):
+    _, labels, _, _, lab = world
+    n = len({s for s, _ in labels})
+    for f in (0.0, 0.2, 0.5, 1.0):
+        got = {r.sample_idx for r in C.sampled(lab, f, seed=7, bits=2).collect()}
+        assert len(got) == int(f * n) and got == {r.sample_idx for r in C.sampled(lab.repartition(5), f, seed=7).collect()}
+    own = {r.sample_idx: [(c.concept_idx, c.matches) for c in r.concepts] for r in C.packed(lab).collect()}
+    want: dict = {}
+    for (s, c), ms in sorted(labels.items()):
+        want.setdefault(s, []).append((c, ms))
+    assert own == want
+    r = C.counts(lab).first()
+    assert (r.samples, r.concepts, r.matches) == (n, 5, sum(map(len, labels.values()))) and tuple(C.counts(lab.limit(0)).first()) == (0, 0, 0)
+    dense = spark.createDataFrame([(1, [1.0, -2.0]), (1, [3.0, 0.0]), (2, [5.0, 5.0]), (2, None)], "s long, v array<double>")
+    assert sorted(map(tuple, L.pooled_vectors(dense, "s", "v").collect())) == [(1, 0, 2.0, 3.0), (1, 1, -1.0, 0.0), (2, 0, 5.0, 5.0), (2, 1, 5.0, 5.0)]
+
+
 def test_empty_tables(spark, world):
     _, _, acts, samples, lab = world
     none = acts.limit(0)

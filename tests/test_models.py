@@ -183,6 +183,8 @@ def test_files(spark, tmp_path):
     files.write_tsv(df, f"{tmp_path}/t")
     assert [r.conceptIdx for r in files.read_tsv(spark, f"{tmp_path}/t", "conceptIdx int, smd double").where("isnan(smd)").collect()] == [2]
     assert not files.write_if_any(df.limit(0), f"{tmp_path}/none") and files.write_if_any(df, f"{tmp_path}/some")
+    names = spark.createDataFrame([("chunk_012.h5", "3-3072-128"), (None, None), ("none", "x")], "n string, k string")
+    assert [tuple(r) for r in names.select(files.chunk_number(names["n"]), files.key_parts(names["k"])).collect()] == [(12, (3, 3072, 128)), (None, (None, None, None)), (None, (None, None, None))]
     (tmp_path / "c.json").write_text('{"C": 3, "N": 1}')
     assert sorted(map(tuple, files.token_counts_json(spark, f"{tmp_path}/c.json").collect())) == [("C", 3), ("N", 1)]
     with pytest.raises(ValueError, match="no such columns"):
