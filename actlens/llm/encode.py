@@ -41,6 +41,8 @@ def encoding(folder: str = TOKENIZERS, name: str = NAME):
     """(with the splitting pattern, without it): one word of any length per text."""
     import tiktoken
 
+    if not hasattr(tiktoken.Encoding, "_encode_single_piece"):
+        raise RuntimeError("this version of tiktoken cannot encode the bytes of one word")
     with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tuple(tiktoken.Encoding(f"{name}-{i}", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for i, p in enumerate((PATTERN, r"[\s\S]+")))
