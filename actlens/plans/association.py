@@ -30,7 +30,16 @@ def associate(
     acts: DataFrame, samples: DataFrame, labels: DataFrame, concepts: DataFrame, thresholds: list[float], k: int = 64, substructure: bool = False, fraction: float = 1.0,
     seed: int = 42, pooled: bool = False, fpc: DataFrame | None = None,
 ) -> DataFrame:
-    """Metrics rows with concept names, in order of latent, concept and threshold. fpc: the latents of each concept, if they are chosen already.
+    """Metrics rows with concept names, in order of latent, concept and threshold. fpc: the latents of each concept, if they are chosen already."""
+    cm = chosen_confusion(acts, samples, labels, thresholds, k, substructure, fraction, seed, pooled, fpc)
+    return C.names(C.scores(cm, substructure), concepts).orderBy("featureIdx", "conceptIdx", "threshold")
+
+
+def chosen_confusion(
+    acts: DataFrame, samples: DataFrame, labels: DataFrame, thresholds: list[float], k: int = 64, substructure: bool = False, fraction: float = 1.0,
+    seed: int = 42, pooled: bool = False, fpc: DataFrame | None = None,
+) -> DataFrame:
+    """The confusion counts of the latents that the prefilter chooses, or that fpc gives.
 
     The activations are cleaned and clustered once; both passes read their sums per sample and their rows on concept tokens, which are settled too, so activations are shuffled twice in all.
     """
@@ -38,8 +47,7 @@ def associate(
     summed, on = settle(C.sums(acts, thresholds)), settle(C.hits(acts, labels))
     if fpc is None:
         fpc = prefilter(acts, samples, labels, k, fraction, seed, pooled, summed, on)
-    cm = C.confusion(acts, samples, labels, thresholds, settle(fpc), substructure, summed, on)
-    return C.names(C.scores(cm, substructure), concepts).orderBy("featureIdx", "conceptIdx", "threshold")
+    return C.confusion(acts, samples, labels, thresholds, settle(fpc), substructure, summed, on)
 
 
 def best_latents(metrics: DataFrame) -> DataFrame:

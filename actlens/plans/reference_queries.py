@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.common import norm, read, settle
+from actlens.common import read
 from actlens.functions import smiles as S
 from actlens.operators import concepts as C
 from actlens.operators import molecules as M
@@ -149,13 +149,13 @@ def _on(query):
     return lambda s, d: query(_In(s, d))
 
 
-def _fpc_rows(t: _In, k: int = K) -> DataFrame:
-    return settle(association.prefilter(t.acts, t.samples, t.labels, k))
+def _fpc_rows(t: _In) -> DataFrame:
+    return association.prefilter(t.acts, t.samples, t.labels, K)
 
 
 def _cm(t: _In, sub: bool = False, k: int | None = None) -> DataFrame:
     """k: over the k latents of each concept only."""
-    return C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, _fpc_rows(t, k) if k else None, sub)
+    return association.chosen_confusion(t.acts, t.samples, t.labels, THRESHOLDS, k, sub) if k else C.confusion(t.acts, t.samples, t.labels, THRESHOLDS, None, sub)
 
 
 def _on_acts() -> dict:
