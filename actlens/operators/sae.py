@@ -178,15 +178,15 @@ def validation(rows: DataFrame, sample: str, batch: int) -> DataFrame:
     return batches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"), F.count("*").alias("n_batches"), F.avg("mse").alias("mse"), F.avg("diff_ce").alias("diff_ce"))
 
 
-def numbered(df: DataFrame, by: str, ranges: int = 1024) -> DataFrame:
-    """Adds _n, the row's place from 0 in order of an integer column: rows are counted in equal ranges of its values, and numbered inside their range."""
+def numbered(df: DataFrame, by: str, ranges: int = 128) -> DataFrame:
+    """Adds _n, the row's place from 0 in order of a column: approximate quantiles, which merge, cut the rows into ranges of like size; rows are numbered inside their range, behind the counts of those before it."""
     df = df.where(F.col(by).isNotNull())
-    ends = df.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    placed = df.crossJoin(F.broadcast(ends)).withColumn("_k", F.floor((F.col(by) - F.col("_lo")) * F.lit(float(ranges)) / (F.col("_hi") - F.col("_lo") + 1)))  # ends is one row
+    bounds = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000).alias("_b"))  # one row
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col(by)))).drop("_b")
     before = F.sum("_c").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
     offset = placed.groupBy("_k").agg(F.count("*").alias("_c")).select("_k", F.coalesce(before, F.lit(0)).alias("_o"))
     inside = F.row_number().over(Window.partitionBy("_k").orderBy(by)) - 1
-    return placed.withColumn("_i", inside).join(offset, "_k").withColumn("_n", F.col("_i") + F.col("_o")).drop("_lo", "_hi", "_k", "_i", "_o")
+    return placed.withColumn("_i", inside).join(offset, "_k").withColumn("_n", F.col("_i") + F.col("_o")).drop("_k", "_i", "_o")
 
 
 class Registry:

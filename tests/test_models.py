@@ -126,6 +126,8 @@ def test_losses(spark):
     assert sae.validation(df.limit(0), "sample", 4).first().n_samples == 0
     places = {x.k: x["_n"] for x in sae.numbered(spark.createDataFrame([(int(v),) for v in r.permutation(500) ** 2], "k long"), "k", 7).collect()}
     assert places == {v * v: v for v in range(500)}
+    far = [*range(99), 10**17]  # one outlier must not put all others in one range
+    assert {x.k: x["_n"] for x in sae.numbered(spark.createDataFrame([(v,) for v in far], "k long"), "k", 7).collect()} == {v: i for i, v in enumerate(far)}
 
 
 def test_weights_as_tables(spark):
