@@ -8,7 +8,8 @@ untouched, so its containment (the share of the evaluation record's n-grams foun
 an equi-join.
 
 The hashed n-grams of the evaluation side are broadcast only if their counted number is within BROADCAST_ROWS;
-otherwise both sides are partitioned by the hash. Equal texts of a task and side are one class, named by a digest and
+otherwise both sides are partitioned by the hash. Pairs of classes found are counted too and, within BROADCAST_PAIRS,
+broadcast to both sides, so that only texts of such pairs are shuffled. Equal texts of a task and side are one class, named by a digest and
 compared once. Numbers of pairs are counted from the sizes of classes and keys, never from pairs. Where pairs must come
 out, a class or key that would give one task more than MEET pairs is cut: its training side into salted parts, with a
 copy of its evaluation side for each.
@@ -29,6 +30,8 @@ from actlens.functions import smiles as S
 EDITS = 3
 PIECES = EDITS + 1
 BROADCAST_ROWS = 600_000
+#: Counted pairs of classes (two digests a row), or hot keys, up to which they are broadcast.
+BROADCAST_PAIRS = 600_000
 #: Pairs of one class or key from which it is cut into salted parts, and the most parts.
 MEET, PARTS = 4_000_000, 4096
 #: Words of an n-gram of the reported containment.
@@ -121,11 +124,12 @@ def near_classes(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
     train, evals = classes.where("side = 'train'"), classes.where("side = 'eval'")
     grams = _grams(evals)
     n = PIECES * evals.count()
-    found = _scan(train).join(broadcast_if(grams, n, BROADCAST_ROWS), "h").select("train_id", "eval_id").distinct()
-    own = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "task", "text", "first", "letters", "multi")))
+    found = settle(_scan(train).join(broadcast_if(grams, n, BROADCAST_ROWS), "h").select("train_id", "eval_id").distinct())
+    links = broadcast_if(found, found.count(), BROADCAST_PAIRS)
+    own = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "task", "text", "first", "letters", "multi"))).join(links, f"{side}_id")
     share = F.size(F.array_intersect(_ngrams(F.col("eval_text")), _ngrams(F.col("train_text")))) / F.size(_ngrams(F.col("eval_text")))
     near = (
-        found.join(own(train, "train"), "train_id").join(own(evals, "eval"), "eval_id")
+        own(train, "train").join(own(evals, "eval"), ["train_id", "eval_id"])
         .where(F.col("train_task") == F.col("eval_task"))
         .where(F.levenshtein("train_letters", "eval_letters", EDITS) >= 0)
         .withColumn("distance", _distance())
@@ -137,9 +141,14 @@ def near_classes(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _meet(train: DataFrame, evals: DataFrame, keys: list[str], meet: int) -> DataFrame:
     """The equi-join of both on keys, where keys that give more than `meet` pairs are cut into salted parts. train and evals hold train_record and eval_record."""
-    size = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
+    sides = train.select(*keys, F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(evals.select(*keys, F.lit(0).alias("n"), F.lit(1).alias("m")))
     pairs = F.col("n") * F.col("m")
-    hot = size(train, "n").join(size(evals, "m"), keys).where(pairs > meet).select(*keys, F.least(F.lit(PARTS), F.ceil(pairs / meet)).cast("int").alias("parts"))
+    sizes = sides.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(pairs > meet)
+    hot = settle(sizes.select(*keys, F.least(F.lit(PARTS), F.ceil(pairs / meet)).cast("int").alias("parts")))
+    n = hot.count()
+    if not n:
+        return train.join(evals, keys)
+    hot = broadcast_if(hot, n, BROADCAST_PAIRS)
     parts = F.coalesce("parts", F.lit(1))
     cut = train.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("train_record"), parts).cast("int")).drop("parts")
     copied = evals.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
@@ -149,10 +158,11 @@ def _meet(train: DataFrame, evals: DataFrame, keys: list[str], meet: int) -> Dat
 def _linked(dataset: DataFrame, meet: int) -> DataFrame:
     """(train_record, eval_record), by text and by key; some pairs twice."""
     recs = settle(records(dataset))
-    near = settle(near_classes(recs)[1].select("train_id", "eval_id"))  # read twice
+    near = settle(near_classes(recs)[1].select("train_id", "eval_id"))  # read several times
+    links = broadcast_if(near, near.count(), BROADCAST_PAIRS)
     side = lambda s: recs.where(F.col("side") == s)
     member = lambda s: side(s).where("id is not null").select(F.col("id").alias(f"{s}_id"), F.col("record_id").alias(f"{s}_record"))
-    by_text = _meet(near.join(member("train"), "train_id"), member("eval"), ["eval_id"], meet)
+    by_text = _meet(member("train").join(links, "train_id"), member("eval").join(links, "eval_id", "left_semi"), ["eval_id"], meet)
     keyed = lambda s: side(s).where("canon_index is not null").select("task", "canon_index", F.col("record_id").alias(f"{s}_record"))
     by_key = _meet(keyed("train"), keyed("eval"), ["task", "canon_index"], meet)
     return by_text.select("train_record", "eval_record").union(by_key.select("train_record", "eval_record"))

@@ -59,11 +59,11 @@ def test_random_edits(spark):
             op = r.randint(0, 2)
             t[k : k + (op > 0)] = [r.choice(toks)] if op < 2 else []
         rows.append((i, r.choice(["", " ", "\t"]) + "".join(t), r.choice([None, None, None, r.randint(0, 40)]), r.choice(["A", "a ", "b", None]), r.choice(["train", "Train\t", "test", "valid", None]), "s"))
-    old = O.BROADCAST_ROWS
-    for limit in (old, 0):
-        O.BROADCAST_ROWS = limit
-        _check(spark, rows, 1 if limit == 0 else O.MEET)  # then also with every key cut into parts
-    O.BROADCAST_ROWS = old
+    old = O.BROADCAST_ROWS, O.BROADCAST_PAIRS
+    for limits, meet in ((old, O.MEET), ((0, 0), 1), (old, 1), ((0, 0), O.MEET)):  # meet 1: every key cut into parts
+        O.BROADCAST_ROWS, O.BROADCAST_PAIRS = limits
+        _check(spark, rows, meet)
+    O.BROADCAST_ROWS, O.BROADCAST_PAIRS = old
 
 
 def test_defined_cases(spark):
