@@ -52,6 +52,11 @@ def bin_map(acts: DataFrame, bins: list[tuple[float, float]]) -> DataFrame:
     return acts.groupBy("sample_idx", "feature").agg(F.bit_or(bit).alias("bins")).where("bins <> 0")
 
 
+def on_tokens(acts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """acts with the token at each position. Merged, never broadcast: Spark takes exploded tokens for as large as the file of strings that they come from, of which they are many times the size."""
+    return acts.join(tokens.hint("merge"), ["sample_idx", "token_idx"])
+
+
 def token_counts(acts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(feature, token, n): how often a latent fires on a token."""
     return acts.join(tokens, ["sample_idx", "token_idx"]).groupBy("feature", "token").agg(F.count("*").alias("n"))
@@ -134,7 +139,7 @@ def latent_max(acts: DataFrame) -> DataFrame:
 
 def distribution(acts: DataFrame, tokens: DataFrame, feature: int | None, pattern: str, labels: DataFrame | None = None) -> DataFrame:
     """([feature, ]sample_idx, token_idx, value, token, group): one latent's activations, or with feature=None those of all, with the feature; group is `labelled` where a label holds the token, else `pattern` where the token matches, else `other`."""
-    one = (acts if feature is None else acts.where(F.col("feature") == feature)).join(tokens, ["sample_idx", "token_idx"])
+    one = on_tokens(acts if feature is None else acts.where(F.col("feature") == feature), tokens)
     hit = F.lit(False)
     if labels is not None:
         one = one.join(labels.select("sample_idx", "token_idx").distinct().withColumn("_hit", F.lit(True)), ["sample_idx", "token_idx"], "left")

@@ -34,7 +34,7 @@ class _In:
 
     def __init__(self, s: SparkSession, d: str):
         self.s, self.d = s, d
-        self.samples, self.acts = T.samples(s, d), T.acts(s, d)
+        self.samples, self.acts, self.by_token = T.samples(s, d), T.acts(s, d), T.acts(s, d, by=("sample_idx", "token_idx"))
         self.tokens, self.labels, self.concepts = T.tokens(self.samples), T.label_tokens(s, d), T.concepts(s, d)
 
 
@@ -184,7 +184,7 @@ def _on_acts() -> dict:
         "concept_association": lambda t: association.associate(t.acts, t.samples, t.labels, t.concepts, THRESHOLDS, K),
         "best_latents": lambda t: association.best_latents(C.scores(_cm(t))),
         "topk_activation": lambda t: _round(sae.top_k_rows(t.acts, ["sample_idx", "token_idx"], 2)),
-        "act_distribution": lambda t: _round(L.distribution(t.acts, t.tokens, None, "^[cn]$", t.labels)),
+        "act_distribution": lambda t: _round(L.distribution(t.by_token, t.tokens, None, "^[cn]$", t.labels)),
         "fpc_topk": _fpc_rows,
         "cm_fpc": lambda t: _cm(t, k=K),
         "cm_substructure_fpc": lambda t: _cm(t, True, K),

@@ -29,11 +29,11 @@ def tokens(samples: DataFrame) -> DataFrame:
     return samples.select("sample_idx", F.posexplode(S.tokens(F.col("smiles"))).alias("token_idx", "token"))
 
 
-def acts(spark: SparkSession, sf_dir: str, below: float = float("inf")) -> DataFrame:
-    """Clustered by (sample_idx, feature), so that grouping by these needs no further shuffle. below: only values under it; by default all finite ones."""
+def acts(spark: SparkSession, sf_dir: str, below: float = float("inf"), by: tuple[str, ...] = ("sample_idx", "feature")) -> DataFrame:
+    """Clustered by `by`, by default (sample_idx, feature), so that grouping by these needs no further shuffle; by (sample_idx, token_idx), a join with `tokens` needs none either. below: only values under it; by default all finite ones."""
     v = F.col("data").cast("double")
     rows = read(spark, sf_dir, "activations").where(v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < below)).where("sample_idx is not null and token_idx is not null and feature is not null")
-    return rows.select("sample_idx", "token_idx", "feature", v.alias("value")).repartition("sample_idx", "feature").groupBy("sample_idx", "feature", "token_idx").agg(F.max("value").alias("value"))
+    return rows.select("sample_idx", "token_idx", "feature", v.alias("value")).repartition(*by).groupBy("sample_idx", "feature", "token_idx").agg(F.max("value").alias("value"))
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
