@@ -151,4 +151,4 @@ def distribution(acts: DataFrame, tokens: DataFrame, feature: int | None, patter
 def histogram(acts: DataFrame, tokens: DataFrame, width: float, bins: int) -> DataFrame:
     """(role, bucket, n) of activation values by token role; the last bucket is open."""
     bucket = F.least(F.lit(bins - 1), F.floor(F.col("value") / width)).cast("int")
-    return acts.join(tokens, ["sample_idx", "token_idx"]).groupBy(S.role(F.col("token")).alias("role"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return on_tokens(acts, tokens).groupBy(S.role(F.col("token")).alias("role"), bucket.alias("bucket")).agg(F.count("*").alias("n"))

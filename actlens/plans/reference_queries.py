@@ -173,7 +173,7 @@ def _on_acts() -> dict:
         "positional_latents": lambda t: _round(L.positional(t.acts, t.samples)),
         "dead_latents": lambda t: L.dead(t.acts, _features(t.s)),
         "latent_max": lambda t: _round(L.latent_max(t.acts)),
-        "act_histogram": lambda t: L.histogram(t.acts, t.tokens, 0.25, 40),
+        "act_histogram": lambda t: L.histogram(t.by_token, t.tokens, 0.25, 40),
         "smd_token": lambda t: _round(C.concept_smd(t.acts, t.samples, t.labels)),
         "smd_pooled": lambda t: _round(C.concept_smd(t.acts, t.samples, t.labels, pooled=True)),
         "repr_smd": lambda t: _round(C.representation_smd(t.acts, *_reference_pairs(t), _features(t.s))),
