@@ -59,7 +59,7 @@ def on_tokens(acts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def token_counts(acts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(feature, token, n): how often a latent fires on a token."""
-    return acts.join(tokens, ["sample_idx", "token_idx"]).groupBy("feature", "token").agg(F.count("*").alias("n"))
+    return on_tokens(acts, tokens).groupBy("feature", "token").agg(F.count("*").alias("n"))
 
 
 def global_counts(tokens: DataFrame) -> DataFrame:

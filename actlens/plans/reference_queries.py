@@ -164,7 +164,7 @@ def _on_acts() -> dict:
         "latent_density": lambda t: _round(L.density(t.acts, t.samples, _features(t.s))),
         "latent_pooling": lambda t: _round(L.fired(t.acts, t.samples), 3),
         "bin_map": lambda t: L.bin_map(t.acts, BINS),
-        "token_preference": lambda t: _round(L.token_preference(t.acts, t.tokens)),
+        "token_preference": lambda t: _round(L.token_preference(t.by_token, t.tokens)),
         "token_preference_inverse": lambda t: L.token_preference_inverse(t.acts, t.tokens),
         "token_inverse_samples": lambda t: L.inverse_samples(t.acts, t.tokens),
         "token_preference_summary": lambda t: _round(L.preference_summary(t.acts, t.tokens), 10),
