@@ -94,14 +94,15 @@ def inverse_samples(acts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def preference_summary(acts: DataFrame, tokens: DataFrame, by_role: bool = False) -> DataFrame:
     """(feature, n_mol, classes, simpson_d, pielou): sum of squared shares, and 1 - H/H_max (0 for a single class), over tokens or token roles."""
-    joined = acts.join(tokens, ["sample_idx", "token_idx"])
     kind = S.role(F.col("token")) if by_role else F.col("token")
-    counts = joined.groupBy("feature", kind.alias("kind")).agg(F.count("*").alias("n"))
+    by = ["sample_idx", "feature"]
+    kinds = on_tokens(acts, tokens).select(*by, kind.alias("kind")).repartition(*by).groupBy(*by, "kind").agg(F.count("*").alias("n"))
+    once = (F.row_number().over(Window.partitionBy(*by).orderBy("kind")) == 1).cast("long")  # one kind of each sample counts it
+    counts = kinds.withColumn("once", once).groupBy("feature", "kind").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     p = counts.withColumn("p", F.col("n") / total)
     evenness = F.when(F.count("*") > 1, 1 - F.try_divide(-F.sum(F.col("p") * F.ln("p")), F.ln(F.count("*")))).otherwise(0.0)
-    mols = joined.select("feature", "sample_idx").distinct().groupBy("feature").agg(F.count("*").alias("n_mol"))
-    return p.groupBy("feature").agg(F.count("*").alias("classes"), F.sum(F.col("p") * F.col("p")).alias("simpson_d"), evenness.alias("pielou")).join(mols, "feature")
+    return p.groupBy("feature").agg(F.count("*").alias("classes"), F.sum(F.col("p") * F.col("p")).alias("simpson_d"), evenness.alias("pielou"), F.sum("once").alias("n_mol"))
 
 
 def role_counts(acts: DataFrame, tokens: DataFrame) -> DataFrame:

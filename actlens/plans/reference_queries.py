@@ -167,7 +167,7 @@ def _on_acts() -> dict:
         "token_preference": lambda t: _round(L.token_preference(t.by_token, t.tokens)),
         "token_preference_inverse": lambda t: L.token_preference_inverse(t.acts, t.tokens),
         "token_inverse_samples": lambda t: L.inverse_samples(t.acts, t.tokens),
-        "token_preference_summary": lambda t: _round(L.preference_summary(t.acts, t.tokens), 10),
+        "token_preference_summary": lambda t: _round(L.preference_summary(t.by_token, t.tokens), 10),
         "token_role_preference": lambda t: L.role_counts(t.acts, t.tokens),
         "token_role_summary": lambda t: _round(L.preference_summary(t.acts, t.tokens, by_role=True), 10),
         "positional_latents": lambda t: _round(L.positional(t.acts, t.samples)),
