@@ -107,7 +107,7 @@ def preference_summary(acts: DataFrame, tokens: DataFrame, by_role: bool = False
 
 def role_counts(acts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(feature, role, n)."""
-    return acts.join(tokens, ["sample_idx", "token_idx"]).groupBy("feature", S.role(F.col("token")).alias("role")).agg(F.count("*").alias("n"))
+    return on_tokens(acts, tokens).groupBy("feature", S.role(F.col("token")).alias("role")).agg(F.count("*").alias("n"))
 
 
 def positional(acts: DataFrame, samples: DataFrame, least: int = 3) -> DataFrame:
