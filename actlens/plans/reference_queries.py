@@ -169,7 +169,7 @@ def _on_acts() -> dict:
         "token_inverse_samples": lambda t: L.inverse_samples(t.acts, t.tokens),
         "token_preference_summary": lambda t: _round(L.preference_summary(t.by_token, t.tokens), 10),
         "token_role_preference": lambda t: L.role_counts(t.by_token, t.tokens),
-        "token_role_summary": lambda t: _round(L.preference_summary(t.acts, t.tokens, by_role=True), 10),
+        "token_role_summary": lambda t: _round(L.preference_summary(t.by_token, t.tokens, by_role=True), 10),
         "positional_latents": lambda t: _round(L.positional(t.acts, t.samples)),
         "dead_latents": lambda t: L.dead(t.acts, _features(t.s)),
         "latent_max": lambda t: _round(L.latent_max(t.acts)),
