@@ -86,8 +86,8 @@ def inverse_samples(acts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(feature, n_mol): samples with at least one token on which the latent is silent."""
     sizes = tokens.groupBy("sample_idx").agg(F.count("*").alias("size"))
     full = (
-        acts.join(tokens, ["sample_idx", "token_idx"]).groupBy("sample_idx", "feature").agg(F.count("*").alias("n"))
-        .join(sizes, "sample_idx").groupBy("feature").agg(F.sum((F.col("n") == F.col("size")).cast("long")).alias("full"))
+        on_tokens(acts, tokens).select("sample_idx", "feature").repartition("sample_idx").groupBy("sample_idx", "feature").agg(F.count("*").alias("n"))
+        .join(sizes.hint("merge"), "sample_idx").groupBy("feature").agg(F.sum((F.col("n") == F.col("size")).cast("long")).alias("full"))
     )
     return full.crossJoin(F.broadcast(sizes.agg(F.count("*").alias("samples")))).select("feature", (F.col("samples") - F.col("full")).alias("n_mol"))
 

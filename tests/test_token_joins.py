@@ -8,7 +8,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["act_distribution", "act_histogram", "token_preference", "token_preference_summary", "token_role_preference", "token_role_summary"])
+@pytest.mark.parametrize("name", ["act_distribution", "act_histogram", "token_preference", "token_preference_summary", "token_role_preference", "token_role_summary", "token_inverse_samples"])
 def test_tokens_are_merged_not_broadcast(spark, name):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10_000_000  # Spark's default
     for query in (name, f"{name}_whole"):
