@@ -74,10 +74,10 @@ def token_preference(acts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def token_preference_inverse(acts: DataFrame, tokens: DataFrame, vocabulary: int = 1_000_000) -> DataFrame:
     """(feature, token, n): tokens on which the latent does not fire, as all occurrences less those where it does; zeros are never expanded. Tokens with none are left out. The result has latents times vocabulary rows: a counted vocabulary above the given one is an error, not a silent explosion."""
-    active = token_counts(acts, tokens)
     total = settle(global_counts(tokens))
     if (n := total.count()) > vocabulary:
         raise ValueError(f"{n} distinct tokens; raise `vocabulary` if a row for each of them and each latent is meant")
+    active = settle(token_counts(acts, tokens))  # read twice below
     dims = active.select("feature").distinct().crossJoin(broadcast_if(total, n, BROADCAST))  # latents times vocabulary, which is the result's size
     return dims.join(active, ["feature", "token"], "left").select("feature", "token", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
 

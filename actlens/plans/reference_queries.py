@@ -165,7 +165,7 @@ def _on_acts() -> dict:
         "latent_pooling": lambda t: _round(L.fired(t.acts, t.samples), 3),
         "bin_map": lambda t: L.bin_map(t.acts, BINS),
         "token_preference": lambda t: _round(L.token_preference(t.by_token, t.tokens)),
-        "token_preference_inverse": lambda t: L.token_preference_inverse(t.acts, t.tokens),
+        "token_preference_inverse": lambda t: L.token_preference_inverse(t.by_token, t.tokens),
         "token_inverse_samples": lambda t: L.inverse_samples(t.by_token, t.tokens),
         "token_preference_summary": lambda t: _round(L.preference_summary(t.by_token, t.tokens), 10),
         "token_role_preference": lambda t: L.role_counts(t.by_token, t.tokens),
